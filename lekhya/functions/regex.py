@@ -13,11 +13,24 @@ from functools import lru_cache
 _WORD = r"\p{L}\p{N}_"
 _SPACE = r"\t-\r\x1c-\x20\x85\p{Z}"
 _BOUNDARY = rf"(?:(?<=[{_WORD}])(?![{_WORD}])|(?<![{_WORD}])(?=[{_WORD}]))"
+# before a word character a boundary only asks for no word character in front
+_WORD_START = rf"(?<![{_WORD}])"
 _CLASSES = {"w": _WORD, "d": r"\p{Nd}", "s": _SPACE}
 
 SPACE_CLASS = _SPACE
 
 
+def _starts_word(rest: str) -> bool:
+    """Whether what follows can only begin with a word character.
+
+    Groups in the pattern tables open with a letter in every alternative, so the
+    first one decides.
+    """
+    while rest.startswith(("(?:", "(")):
+        rest = rest[3:] if rest.startswith("(?:") else rest[1:]
+    return rest[:1].isalnum() or rest.startswith((r"\d", r"\w"))
+
+
 @lru_cache(maxsize=None)
 def java_pattern(pattern: str, ignore_case: bool = False, multiline: bool = False) -> str:
     """Rewrite a Python pattern for Java, with flags in front."""
@@ -34,7 +47,7 @@ def java_pattern(pattern: str, ignore_case: bool = False, multiline: bool = Fals
             elif code.lower() in _CLASSES and code.isupper() and not in_class:
                 out.append(f"[^{_CLASSES[code.lower()]}]")
             elif code == "b" and not in_class:
-                out.append(_BOUNDARY)
+                out.append(_WORD_START if _starts_word(pattern[i + 2:]) else _BOUNDARY)
             else:
                 out.append(char + code)
             i += 2
@@ -45,7 +58,7 @@ def java_pattern(pattern: str, ignore_case: bool = False, multiline: bool = Fals
             in_class = False
         out.append(char)
         i += 1
-    flags = "d" + ("iu" if ignore_case else "") + ("m" if multiline else "")
+    flags = "d" + ("i" if ignore_case else "") + ("m" if multiline else "")
     return f"(?{flags})" + "".join(out)
 
 

@@ -14,10 +14,12 @@ QUOTED_PASSAGES = 4
 
 def extract_claims(df: DataFrame, text: str = "text") -> DataFrame:
     """Dates, amounts, rule or order numbers and authorities stated in a text, one per row."""
-    found = [F.transform(
-        F.regexp_extract_all(text_or_empty(F.col(text)), F.lit(java_pattern(p, True)), F.lit(0)),
-        lambda m, i, kind=kind: F.struct(F.lit(kind).alias("claim_type"), i.alias("claim_pos"),
-                                         strip(m).alias("claim")))
+    def row(kind: str):
+        return lambda m, i: F.struct(F.lit(kind).alias("claim_type"), i.alias("claim_pos"),
+                                     strip(m).alias("claim"))
+
+    found = [F.transform(F.regexp_extract_all(
+        text_or_empty(F.col(text)), F.lit(java_pattern(p, True)), F.lit(0)), row(kind))
         for kind, p in fv.CLAIM_PATTERNS]
     rest = [c for c in df.columns if c != text]
     return df.select(*rest, F.inline(F.concat(*found))).filter(F.length("claim") > 1)
@@ -40,7 +42,7 @@ def packet_corpus(packet: Packet) -> DataFrame:
     rows = packet.passages.groupBy("query_id").agg(
         F.array_sort(F.collect_list(parts)).alias("p"))
     rows = rows.join(packet.summary.select("query_id", "currency_banner"), "query_id")
-    columns = [F.array_join(F.transform("p", lambda x, n=n: x[n]), " ")
+    columns = [F.array_join(F.col(f"p.{n}"), " ")
                for n in ("t", "order_date", "effective_from", "effective_to")]
     text = F.concat_ws(" ", columns[0], text_or_empty(F.col("currency_banner")), *columns[1:])
     return rows.select("query_id", F.lower(text).alias("corpus"))

@@ -2,6 +2,7 @@
 
 Ranked hits are at most k per question, so they are small enough to broadcast
 against chunks, precedent edges and versions; the large tables never shuffle.
+Steps that several results share are staged once.
 Relations stay in long form, because a much-cited order may have any number.
 """
 
@@ -14,8 +15,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lekhya import fixed_values as fv
 from lekhya.functions.regex import java_pattern
-from lekhya.operators.access import User, filter_visible
-from lekhya.operators.scale import earliest_per, top_k
+from lekhya.operators.access import User
+from lekhya.operators.retrieval import with_grants
+from lekhya.operators.scale import earliest_per, either, top_k
+from lekhya.session import stage
 
 CHANGING = ["SUPERSEDES", "AMENDS"]
 PASSAGE = ["title", "department_id", "doc_type", "page_start", "page_end", "section_heading",
@@ -73,7 +76,7 @@ def build_packet(hits: DataFrame, chunks: DataFrame, edges: DataFrame, versions:
     lifecycle_status, one row each.  Amending passages obey the access rule of
     the question's user.
     """
-    selected = select_passages(hits, chunks)
+    selected = stage(select_passages(hits, chunks))
     changed = incoming(selected, edges).join(
         versions.select(F.col("version_id").alias("source_version_id"),
                         F.col("document_id").alias("amending_doc"),
@@ -83,10 +86,10 @@ def build_packet(hits: DataFrame, chunks: DataFrame, edges: DataFrame, versions:
         "source_version_id", "left")
     approved = F.coalesce(F.col("amending_status") == "ACTIVE", F.lit(False))
     dated = F.col("amending_from").isNotNull()
-    changed = (changed.withColumn("has_approved_rel", approved)
-               .withColumn("has_effective_date", dated)
-               .withColumn("status", F.when(approved & dated, F.col("relation_type"))
-                           .otherwise("UNCERTAIN")))
+    changed = stage(changed.withColumn("has_approved_rel", approved)
+                    .withColumn("has_effective_date", dated)
+                    .withColumn("status", F.when(approved & dated, F.col("relation_type"))
+                                .otherwise("UNCERTAIN")))
 
     amendments = earliest_per(changed.select(
         "query_id", "original_doc", "original_go", "amending_doc", "amending_go",
@@ -99,15 +102,15 @@ def build_packet(hits: DataFrame, chunks: DataFrame, edges: DataFrame, versions:
              .groupBy("query_id", "note").agg(F.min(F.struct("position", "edge_id")).alias("at"))
              .select("query_id", "note", "at.position", "at.edge_id"))
 
-    outgoing = (edges.filter(F.col("relation_type").isin(CHANGING))
-                .join(F.broadcast(selected.select("query_id", "position", "document_id",
-                                                  "version_id", "go_number")),
-                      F.col("source_version_id") == F.col("version_id")))
+    outgoing = stage(edges.filter(F.col("relation_type").isin(CHANGING)).join(
+        F.broadcast(selected.select("query_id", "position", "document_id", "version_id",
+                                    "go_number")),
+        F.col("source_version_id") == F.col("version_id")))
     last_out = outgoing.groupBy("query_id", "position").agg(
         F.max_by("relation_type", "edge_id").alias("outgoing_relation"))
     last_in = changed.groupBy("query_id", "position").agg(
         F.max_by("status", "edge_id").alias("incoming_status"))
-    flagged = (selected.join(last_in, ["query_id", "position"], "left")
+    flagged = stage(selected.join(last_in, ["query_id", "position"], "left")
                .join(last_out, ["query_id", "position"], "left")
                .withColumn("currency_status", F.coalesce("incoming_status", F.lit("CURRENT")))
                .withColumn("is_amending", F.coalesce(
@@ -116,7 +119,7 @@ def build_packet(hits: DataFrame, chunks: DataFrame, edges: DataFrame, versions:
                    F.col("outgoing_relation") == "SUPERSEDES", F.lit(False)))
                .drop("incoming_status", "outgoing_relation"))
     added = _amending_passages(flagged, changed, chunks, users or {}, grants, now)
-    passages = flagged.unionByName(added, allowMissingColumns=True)
+    passages = stage(flagged.unionByName(added, allowMissingColumns=True))
 
     rate = rate_conflicts(passages)
     passages = passages.join(rate.select("query_id", F.col("second_position").alias("position"))
@@ -136,19 +139,15 @@ def _amending_passages(selected: DataFrame, changed: DataFrame, chunks: DataFram
                             F.col("source_version_id").alias("version_id"))
     usable = _with_columns(chunks, PASSAGE).filter(
         F.col("review_status").isin(fv.APPROVED_REVIEW))
-    parts = []
-    for query_id, user in (users or {"": User()}).items():
-        mine = wanted.filter(F.col("query_id") == query_id) if users else wanted
-        seen = filter_visible(usable, user, grants, now)
-        # one chunk per version: versions named by the edges of at most eight passages
-        first = earliest_per(
-            seen.join(mine.select("version_id").distinct(), "version_id", "left_semi")
-            .select("version_id", "chunk_index", "chunk_id", "document_id", *PASSAGE),
-            ["version_id"], ["chunk_index", "chunk_id"])
-        parts.append(mine.join(first, "version_id"))
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
+    # versions named by the edges of at most eight passages, then the access rule
+    rows, rules = with_grants(usable.select(
+        "version_id", "chunk_index", "chunk_id", "document_id", "classification", *PASSAGE)
+        .join(wanted, "version_id"), list(set(users.values())) or [User()], grants, now)
+    seen = either([rule & (F.col("query_id").isin([q for q, u in users.items() if u == user])
+                           if users else F.lit(True)) for user, rule in rules.items()])
+    found = earliest_per(rows.filter(seen).select(
+        *wanted.columns, "chunk_index", "chunk_id", "document_id", *PASSAGE),
+        wanted.columns, ["chunk_index", "chunk_id"])
     fresh = found.join(selected.select("query_id", "chunk_id"), ["query_id", "chunk_id"],
                        "left_anti")
     once = earliest_per(fresh, ["query_id", "chunk_id"], ["position", "edge_id"])

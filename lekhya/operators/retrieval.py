@@ -94,11 +94,12 @@ def searchable_text() -> Column:
         "section_heading", "title", "subject", "content", "go_number")])
 
 
-def term_frequencies(toks: Column, terms: list[str]) -> Column:
-    """Frequency in the chunk of each of the given terms that occurs."""
-    hits = F.filter(toks, lambda t: t.isin(terms))
-    return F.map_from_entries(F.transform(F.array_distinct(hits), lambda t: F.struct(
-        t, F.size(F.filter(hits, lambda h: h == t)))))
+def with_term_frequencies(df: DataFrame, toks: str, terms: list[str]) -> DataFrame:
+    """Add ``len`` and ``tf``: the frequency of each of the given terms that occurs."""
+    hits = df.withColumn("_hits", F.filter(toks, lambda t: t.isin(terms)))
+    tf = F.map_from_entries(F.transform(F.array_distinct("_hits"), lambda t: F.struct(
+        t, F.size(F.filter("_hits", lambda h: h == t)))))
+    return hits.withColumn("len", F.size(toks)).withColumn("tf", tf).drop("_hits")
 
 
 def bm25_term(tf: Column, df: Column, n: Column, length: Column, average: Column) -> Column:
@@ -194,7 +195,7 @@ def _survivor(i: int, q: ParsedQuestion) -> Column:
     return F.when((F.col("codes")[i] > 0) & ~drop, row)
 
 
-def _with_grants(chunks: DataFrame, users: list[User], grants: DataFrame | None,
+def with_grants(chunks: DataFrame, users: list[User], grants: DataFrame | None,
                  now: datetime | None) -> tuple[DataFrame, dict[User, Column]]:
     """Visibility expression per distinct user of the batch."""
     if grants is None:
@@ -221,7 +222,7 @@ def slim_rows(chunks: DataFrame, batch: list[ParsedQuestion], grants: DataFrame
     if provenance_gate and "provenance_status" in chunks.columns:
         admitted = admitted.filter(searchable(F.col("lifecycle_status"),
                                               F.col("provenance_status")))
-    joined, rules = _with_grants(admitted, list({q.user for q in batch}), grants, now)
+    joined, rules = with_grants(admitted, list({q.user for q in batch}), grants, now)
     codes = F.array(*[_candidate_code(q, rules[q.user]) for q in batch])
     candidates = joined.withColumn("codes", codes).filter(
         F.exists("codes", lambda c: c > 0))
@@ -232,9 +233,8 @@ def slim_rows(chunks: DataFrame, batch: list[ParsedQuestion], grants: DataFrame
     scored = (candidates
               .withColumn("cos", vectors(F.concat_ws(" ", text_or_empty(F.col("subject")),
                                                      text_or_empty(F.col("content"))), stored))
-              .withColumn("toks", tokens(searchable_text()))
-              .withColumn("len", F.size("toks"))
-              .withColumn("tf", term_frequencies(F.col("toks"), terms)))
+              .withColumn("toks", tokens(searchable_text())))
+    scored = with_term_frequencies(scored, "toks", terms)
     survivors = F.array_compact(F.array(*[_survivor(i, q) for i, q in enumerate(batch)]))
     return stage(scored.select("chunk_id", "document_id", "version_id", "len", "tf", "codes",
                                survivors.alias("survivors")))
@@ -355,9 +355,9 @@ def keyword_search(docs: DataFrame, terms: list[str], k: int = 10, id_col: str =
                    text: str = "text") -> DataFrame:
     """Plain BM25 top-k for one list of query terms over already authorised rows."""
     weights = Counter(terms)
-    slim = stage(docs.withColumn("toks", tokens(F.col(text)))
-                 .select(id_col, F.size("toks").alias("len"),
-                         term_frequencies(F.col("toks"), sorted(weights)).alias("tf")))
+    counted = with_term_frequencies(docs.withColumn("toks", tokens(F.col(text))), "toks",
+                                    sorted(weights))
+    slim = stage(counted.select(id_col, "len", "tf"))
     counts = [F.count_if(F.map_contains_key("tf", t)).alias(f"df{i}")
               for i, t in enumerate(weights)]
     stats = slim.agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg("len").alias("average"),

@@ -27,19 +27,19 @@ def rate_limit_stream(events: DataFrame, key: str, event_id: str, ts: str,
             state.remove()
             return
         tokens, last = state.get if state.exists else (capacity, None)
-        rows = pd.concat(list(batches)).sort_values(["seconds", event_id])
-        allowed, wait = [], []
-        for t in rows["seconds"]:
-            tokens, ok, retry = bucket_step(tokens, 0.0 if last is None else t - last, rate,
-                                            capacity)
-            last = t if last is None else max(last, t)
-            allowed.append(ok)
-            wait.append(retry)
+        for rows in batches:  # arrival order, one Arrow batch at a time
+            allowed, wait = [], []
+            for t in rows["seconds"]:
+                tokens, ok, retry = bucket_step(tokens, 0.0 if last is None else t - last, rate,
+                                                capacity)
+                last = t if last is None else max(last, t)
+                allowed.append(ok)
+                wait.append(retry)
+            yield pd.DataFrame({event_id: rows[event_id], key: group[0], "allowed": allowed,
+                                "retry_after": wait})
         state.update((tokens, last))
         state.setTimeoutTimestamp(max(int((last + capacity / rate) * 1000),
                                       state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({event_id: rows[event_id], key: group[0], "allowed": allowed,
-                            "retry_after": wait})
 
     return (events.withWatermark(ts, watermark)
             .select(event_id, key, ts, (F.unix_micros(ts) / 1e6).alias("seconds"))
