@@ -8,6 +8,7 @@ Devanagari digit is a digit.
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 
 _WORD = r"\p{L}\p{N}_"
@@ -62,6 +63,22 @@ def java_pattern(pattern: str, ignore_case: bool = False, multiline: bool = Fals
     return f"(?{flags})" + "".join(out)
 
 
+_EITHER = re.compile(r"\(\?:\\b\(\?:(.*)\)\\b\|(.*)\)")
+
+
 def any_of(patterns: list[str], ignore_case: bool = False) -> str:
-    """One alternation that matches where any of ``patterns`` does."""
-    return java_pattern("|".join(f"(?:{p})" for p in patterns), ignore_case)
+    """One alternation that matches where any of ``patterns`` does.
+
+    Patterns of the form "whole word X, or Y anywhere" share one word boundary, so
+    most positions of a text are dismissed by a single test.
+    """
+    whole, anywhere = [], []
+    for p in patterns:
+        split = _EITHER.fullmatch(p)
+        if split:
+            whole.append(split.group(1))
+            anywhere.append(split.group(2))
+        else:
+            anywhere.append(f"(?:{p})")
+    parts = ([r"\b(?:" + "|".join(whole) + r")\b"] if whole else []) + anywhere
+    return java_pattern("|".join(parts), ignore_case)

@@ -1,6 +1,6 @@
 """Registered queries over the given tables."""
 
-from lekhya.plans import retrieval_queries  # noqa: F401
+from lekhya.plans import record_queries, retrieval_queries, text_queries  # noqa: F401
 from lekhya.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

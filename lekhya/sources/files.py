@@ -75,7 +75,7 @@ def ocr_blocks(tsv: DataFrame, page_keys: list[str]) -> DataFrame:
     words = tsv.filter("level = 5 AND conf >= 0 AND trim(text) <> ''").select(
         *page_keys, "block_num", (F.col("par_num") * 1000 + F.col("line_num")).alias("line"),
         "word_num", F.trim("text").alias("text"),
-        F.least(F.col("conf") / 100.0, F.lit(1.0)).alias("conf"), "left", "top",
+        F.least("conf", F.lit(100.0)).alias("conf"), "left", "top",
         right.alias("right"), bottom.alias("bottom"))
     # a line, a block and a page are bounded by the paper they were scanned from
     lines = words.groupBy(*page_keys, "block_num", "line").agg(
@@ -93,7 +93,7 @@ def ocr_blocks(tsv: DataFrame, page_keys: list[str]) -> DataFrame:
     box = F.when(F.coalesce(wide, F.lit(False)), F.col("own")).otherwise(F.col("envelope"))
     return joined.select(*page_keys, "block_num", "text",
                          F.transform(box, lambda v: F.round(v, 2)).alias("bbox"),
-                         F.round(F.col("conf") / F.col("words"), 4).alias("confidence"),
+                         F.round(F.col("conf") / (F.col("words") * 100), 4).alias("confidence"),
                          F.col("conf").alias("conf_sum"), "words")
 
 
@@ -102,7 +102,7 @@ def ocr_pages(blocks: DataFrame, page_keys: list[str]) -> DataFrame:
     return blocks.groupBy(*page_keys).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_num", "text"))),
                                  lambda b: b["text"]), "\n\n").alias("ocr_text"),
-        F.round(F.sum("conf_sum") / F.sum("words"), 4).alias("confidence"))
+        F.round(F.sum("conf_sum") / (F.sum("words") * 100), 4).alias("confidence"))
 
 
 def read_ocr_tsv(spark: SparkSession, path: str) -> DataFrame:
