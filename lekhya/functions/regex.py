@@ -21,6 +21,19 @@ _CLASSES = {"w": _WORD, "d": r"\p{Nd}", "s": _SPACE}
 SPACE_CLASS = _SPACE
 
 
+def _next_class(rest: str) -> str:
+    """A look ahead at a digit or character class that must follow a boundary.
+
+    It changes no match; it dismisses most positions before the boundary is tested.
+    """
+    rest = rest.lstrip("(")
+    if rest.startswith(r"\d"):
+        return r"(?=\p{Nd})"
+    if rest.startswith("["):
+        return f"(?={java_pattern(rest[:rest.index(']') + 1])[len('(?d)'):]})"
+    return ""
+
+
 def _starts_word(rest: str) -> bool:
     """Whether what follows can only begin with a word character.
 
@@ -48,7 +61,9 @@ def java_pattern(pattern: str, ignore_case: bool = False, multiline: bool = Fals
             elif code.lower() in _CLASSES and code.isupper() and not in_class:
                 out.append(f"[^{_CLASSES[code.lower()]}]")
             elif code == "b" and not in_class:
-                out.append(_WORD_START if _starts_word(pattern[i + 2:]) else _BOUNDARY)
+                rest = pattern[i + 2:]
+                out.append(_next_class(rest) + (_WORD_START if _starts_word(rest)
+                                                else _BOUNDARY))
             else:
                 out.append(char + code)
             i += 2

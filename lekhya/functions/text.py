@@ -63,11 +63,11 @@ def expand_tokens(toks: Column) -> Column:
 
 
 def devanagari_count(c: Column) -> Column:
-    return F.length(F.regexp_replace(text_or_empty(c), "[^ऀ-ॿ]", ""))
+    return F.length(F.regexp_replace(text_or_empty(c), "[^ऀ-ॿ]+", ""))
 
 
 def latin_count(c: Column) -> Column:
-    return F.length(F.regexp_replace(text_or_empty(c), "[^A-Za-z]", ""))
+    return F.length(F.regexp_replace(text_or_empty(c), "[^A-Za-z]+", ""))
 
 
 def _minority_share(dev: Column, lat: Column) -> Column:

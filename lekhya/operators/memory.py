@@ -24,7 +24,7 @@ def session_expiry(start: Column, ttl: Column, pii: Column) -> Column:
     standard = F.when(ttl > 0, ttl).otherwise(fv.TTL_STANDARD)
     capped = F.when(ttl > 0, F.least(ttl, F.lit(fv.TTL_PII))).otherwise(fv.TTL_PII)
     seconds = F.when(F.coalesce(pii, F.lit(False)), capped).otherwise(standard)
-    return F.timestamp_micros(F.unix_micros(start) + seconds.cast("long") * 1_000_000)
+    return start + F.make_dt_interval(secs=seconds.cast("decimal(18,6)"))
 
 
 def open_sessions(sessions: DataFrame, user_id: str, now: datetime) -> DataFrame:
@@ -35,8 +35,7 @@ def open_sessions(sessions: DataFrame, user_id: str, now: datetime) -> DataFrame
 def shorten_for_personal_data(sessions: DataFrame, turns: DataFrame) -> DataFrame:
     """A turn with personal data pulls the session's expiry to within an hour of it."""
     cap = turns.filter("has_pii").groupBy("session_id").agg(
-        F.min(F.timestamp_micros(F.unix_micros("created_at") + fv.TTL_PII * 1_000_000))
-        .alias("_cap"))
+        (F.min("created_at") + F.make_dt_interval(secs=F.lit(fv.TTL_PII))).alias("_cap"))
     return sessions.join(cap, "session_id", "left").withColumn(
         "expires_at", F.least("expires_at", "_cap")).drop("_cap")
 

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from lekhya import fixed_values as fv
 from lekhya.operators.scale import running, scan_in_order, stretches
 
 
+def epoch_seconds(ts: str) -> Column:
+    return F.unix_micros(F.col(ts).cast("timestamp")) / 1e6
+
+
 def bucket_step(tokens: float, idle: float, rate: float, capacity: float,
                 cost: float = 1.0) -> tuple[float, bool, int]:
     """One request: (tokens left, allowed, seconds to wait when refused)."""
@@ -29,26 +30,17 @@ def rate_limit(events: DataFrame, key: str, event_id: str, ts: str,
     before, so keys are cut at such pauses and the pieces run independently.
     """
     rate, capacity = per_minute / 60.0, per_minute + burst
-    rows = events.select(event_id, key, (F.unix_micros(ts) / 1e6).alias("seconds"))
+    rows = events.select(event_id, key, epoch_seconds(ts).alias("seconds"))
     cut = stretches(rows, [key], ["seconds", event_id], "seconds", capacity / rate)
-    key_type, id_type = [events.schema[c].dataType.simpleString() for c in (key, event_id)]
-
-    def step(group, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokens, last = capacity, None
-        for pdf in batches:
-            allowed, wait = [], []
-            for t in pdf["seconds"]:
-                tokens, ok, retry = bucket_step(tokens, 0.0 if last is None else t - last,
-                                                rate, capacity)
-                last = t
-                allowed.append(ok)
-                wait.append(retry)
-            yield pd.DataFrame({event_id: pdf[event_id], key: group[0], "allowed": allowed,
-                                "retry_after": wait})
-
-    return scan_in_order(cut, [key, "stretch"], ["seconds", event_id], step,
-                         f"{event_id} {id_type}, {key} {key_type}, allowed boolean, "
-                         "retry_after int")
+
+    def step(state, t):
+        tokens, last = state
+        tokens, ok, retry = bucket_step(tokens, 0.0 if last is None else t - last, rate, capacity)
+        return (tokens, t), ok, retry
+
+    return scan_in_order(cut, [key, "stretch"], ["seconds", event_id], [event_id, key],
+                         ["seconds"], lambda: (capacity, None), step,
+                         "allowed boolean, retry_after int")
 
 
 def idempotent_replays(calls: DataFrame, keys: list[str], call_id: str, ts: str,
@@ -59,24 +51,17 @@ def idempotent_replays(calls: DataFrame, keys: list[str], call_id: str, ts: str,
     is ``replayed`` and another payload is a ``conflict``.  ``keys`` must name the
     caller and endpoint too, so that callers do not share records.
     """
-    rows = calls.select(*keys, call_id, payload_hash, (F.unix_micros(ts) / 1e6).alias("seconds"))
+    rows = calls.select(*keys, call_id, payload_hash, epoch_seconds(ts).alias("seconds"))
     cut = stretches(rows, keys, ["seconds", call_id], "seconds", ttl_seconds)
-    types = {c: calls.schema[c].dataType.simpleString() for c in (*keys, call_id)}
 
-    def step(group, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        expires, stored = None, None
-        for pdf in batches:
-            out = []
-            for t, h in zip(pdf["seconds"], pdf[payload_hash]):
-                if expires is None or t >= expires:
-                    expires, stored = t + ttl_seconds, h
-                    out.append("executed")
-                else:
-                    out.append("replayed" if h == stored else "conflict")
-            yield pd.DataFrame({**{k: pdf[k] for k in (*keys, call_id)}, "outcome": out})
+    def step(state, t, payload):
+        expires, stored = state
+        if expires is None or t >= expires:
+            return (t + ttl_seconds, payload), "executed"
+        return state, "replayed" if payload == stored else "conflict"
 
-    schema = ", ".join(f"{c} {types[c]}" for c in (*keys, call_id)) + ", outcome string"
-    return scan_in_order(cut, [*keys, "stretch"], ["seconds", call_id], step, schema)
+    return scan_in_order(cut, [*keys, "stretch"], ["seconds", call_id], [*keys, call_id],
+                         ["seconds", payload_hash], lambda: (None, None), step, "outcome string")
 
 
 def crawl_pacing(requests: DataFrame, host: str, request_id: str, ts: str,
@@ -87,7 +72,7 @@ def crawl_pacing(requests: DataFrame, host: str, request_id: str, ts: str,
     i * interval + max over j <= i of (t_j - j * interval): two running folds.
     """
     interval = 60.0 / max(1, per_minute)
-    rows = requests.select(host, request_id, (F.unix_micros(ts) / 1e6).alias("seconds"),
+    rows = requests.select(host, request_id, epoch_seconds(ts).alias("seconds"),
                            F.lit(1).alias("one"))
     order = ["seconds", request_id]
     numbered = running(rows, [host], order, "one", "i").drop("one")

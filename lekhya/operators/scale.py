@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lekhya.session import stage
@@ -161,12 +162,29 @@ def stretches(df: DataFrame, keys: list[str], order: list[str], seconds: str,
     return running(marked, keys, order, "_opens", "stretch").drop("_opens")
 
 
-def scan_in_order(df: DataFrame, keys: list[str], order: list[str], step, schema: str) -> DataFrame:
+def scan_in_order(df: DataFrame, keys: list[str], order: list[str], carry: list[str],
+                  inputs: list[str], start, step, outputs: str) -> DataFrame:
     """Run a sequential recurrence over each group in order.
 
-    ``step(key, batches)`` receives the rows of one group as an iterator of pandas
-    batches and yields results, so memory does not grow with the group.  The
-    explicit sort serves the grouping as well; no second one is planned.
+    ``step(state, *inputs)`` returns (state, *outputs) for a row and ``start()`` the
+    state before a group's first row.  Groups arrive whole and sorted in one
+    partition and are streamed in Arrow batches; nothing but the state is held.
     """
-    ordered = df.repartition(*keys).sortWithinPartitions(*keys, *order)
-    return ordered.groupBy(*keys).applyInPandas(step, schema)
+    ordered = (df.repartition(*keys).sortWithinPartitions(*keys, *order)
+               .select(*dict.fromkeys([*keys, *carry, *inputs])))
+    names = [o.strip().split()[0] for o in outputs.split(",")]
+    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in carry)
+
+    def run(batches):
+        group, state = None, None
+        for pdf in batches:
+            rows = []
+            for key, values in zip(zip(*[pdf[k] for k in keys]), zip(*[pdf[c] for c in inputs])):
+                if key != group:
+                    group, state = key, start()
+                state, *out = step(state, *values)
+                rows.append(out)
+            made = pd.DataFrame(rows, columns=names)
+            yield pd.concat([pdf[carry].reset_index(drop=True), made], axis=1)
+
+    return ordered.mapInPandas(run, f"{schema}, {outputs}")

@@ -388,11 +388,11 @@ def idempotent_replays(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("crawl_pacing", """WITH e AS (SELECT event_id, event_type, epoch_us(ts) / 1e6 AS t,
       row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS i FROM events)
-    SELECT event_id, round(max(t - i * 600.0) OVER (PARTITION BY event_type ORDER BY i) + i * 600.0 - t, 3) AS wait_seconds FROM e""")
+    SELECT event_id, round(max(t - i * 60.0) OVER (PARTITION BY event_type ORDER BY i) + i * 60.0 - t, 3) AS wait_seconds FROM e""")
 def crawl_pacing(spark: SparkSession, folder: str) -> DataFrame:
-    """Five hosts at one request per ten minutes each."""
+    """Event types as hosts, at one request per minute each."""
     e = read(spark, folder, "events")
-    out = requests.crawl_pacing(e, "event_type", "event_id", "ts", 0.1)
+    out = requests.crawl_pacing(e, "event_type", "event_id", "ts", 1)
     return out.select("event_id", F.round("wait_seconds", 3).alias("wait_seconds"))
 
 
@@ -516,10 +516,10 @@ _SESSIONS_SQL = """s AS (SELECT event_id AS session_id, user_id, ts + to_seconds
     FROM events WHERE event_type = 'signup')"""
 
 
-@query("session_expiry", f"WITH {_SESSIONS_SQL} SELECT session_id, epoch_us(expires_at) AS expires_us FROM s")
+@query("session_expiry", f"WITH {_SESSIONS_SQL} SELECT session_id, strftime(expires_at, '%Y-%m-%d %H:%M:%S') AS expires_at FROM s")
 def session_expiry(spark: SparkSession, folder: str) -> DataFrame:
     s = event_sessions(spark, folder)
-    return s.select("session_id", F.unix_micros(F.col("expires_at").cast("timestamp")).alias("expires_us"))
+    return s.select("session_id", F.date_format("expires_at", "yyyy-MM-dd HH:mm:ss").alias("expires_at"))
 
 
 @query("ttl_purge", f"""WITH {_SESSIONS_SQL} SELECT count(*) AS sessions_purged,

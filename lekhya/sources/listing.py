@@ -7,7 +7,7 @@ from html.parser import HTMLParser
 from urllib.parse import urljoin
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from lekhya import fixed_values as fv
 from lekhya.functions.dates import listing_date
@@ -93,7 +93,7 @@ def parse_pages(pages: DataFrame, id_col: str, html: str = "html") -> DataFrame:
     return pages.mapInPandas(run, f"{schema}, rows {ROWS}, links {LINKS}")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def resolve_url(base: pd.Series, href: pd.Series) -> pd.Series:
     """The absolute address of a link on a page."""
     def join(b, h):

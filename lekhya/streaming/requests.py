@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lekhya import fixed_values as fv
-from lekhya.operators.requests import bucket_step
+from lekhya.operators.requests import bucket_step, epoch_seconds
 
 
 def rate_limit_stream(events: DataFrame, key: str, event_id: str, ts: str,
@@ -42,7 +42,7 @@ def rate_limit_stream(events: DataFrame, key: str, event_id: str, ts: str,
                                       state.getCurrentWatermarkMs() + 1))
 
     return (events.withWatermark(ts, watermark)
-            .select(event_id, key, ts, (F.unix_micros(ts) / 1e6).alias("seconds"))
+            .select(event_id, key, ts, epoch_seconds(ts).alias("seconds"))
             .groupBy(key).applyInPandasWithState(
                 step, f"{event_id} {id_type}, {key} {key_type}, allowed boolean, retry_after int",
                 "tokens double, last double", "append", GroupStateTimeout.EventTimeTimeout))
