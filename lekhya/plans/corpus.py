@@ -20,6 +20,16 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def read_spread(spark: SparkSession, folder: str, name: str, key: str) -> DataFrame:
+    """A table for per-row text work, over all cores even if it is one small file.
+
+    A table of enough splits is read as it is; nothing moves.
+    """
+    df = read(spark, folder, name)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def pick(values: list[str], index: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), index.cast("int") + 1)
 
@@ -35,7 +45,7 @@ _N = "CAST(substr(source, 4) AS INT)"
 
 def records(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as one-chunk records; review state from the labels."""
-    docs = read(spark, folder, "documents")
+    docs = read_spread(spark, folder, "documents", "doc_id")
     labels = read(spark, folder, "labels").select("doc_id", "quality", "toxic")
     n = F.substring("source", 4, 10).cast("int")
     d = docs.join(labels, "doc_id", "left").withColumn("n", n)
@@ -118,7 +128,7 @@ def order_notices(spark: SparkSession, folder: str) -> DataFrame:
 
     Status F supersedes, O continues and P amends the order some places before it.
     """
-    o = read(spark, folder, "orders")
+    o = read_spread(spark, folder, "orders", "o_orderkey")
     cited = F.greatest(F.col("o_orderkey") - 1 - F.col("o_custkey") % 5, F.lit(0))
     number, old = notice_number(F.col("o_orderkey")), notice_number(cited)
     day = F.date_format("o_orderdate", "dd/MM/yyyy")
@@ -203,7 +213,7 @@ def notice_chunks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def turns(spark: SparkSession, folder: str) -> DataFrame:
-    c = read(spark, folder, "conversations")
+    c = read_spread(spark, folder, "conversations", "conv_id")
     return c.select(F.col("conv_id").alias("session_id"), F.col("turn"),
                     F.concat_ws(":", F.col("conv_id").cast("string"),
                                 F.col("turn").cast("string")).alias("turn_id"),

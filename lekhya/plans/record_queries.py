@@ -10,7 +10,7 @@ from lekhya import fixed_values as fv
 from lekhya.functions.dates import listing_date
 from lekhya.operators import catalogue, ingest, memory, metrics, requests
 from lekhya.operators.scale import previous_row
-from lekhya.plans.corpus import NOW, RECORDS_SQL, read, records, turns
+from lekhya.plans.corpus import NOW, RECORDS_SQL, read, read_spread, records, turns
 from lekhya.plans.registry import query
 from lekhya.plans.text_queries import exchanges
 from lekhya.sources import listing, robots
@@ -53,11 +53,11 @@ def robots_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 def fetched(spark: SparkSession, folder: str) -> DataFrame:
     """Pages and documents as fetched items; some documents are dressed as other formats."""
-    p = read(spark, folder, "pages").select(
+    p = read_spread(spark, folder, "pages", "page_id").select(
         F.lit("portal").alias("source_id"), F.col("page_id").alias("item_id"), "url",
         F.encode("html", "UTF-8").alias("data"), F.lit(200).alias("http_status"),
         F.lit("text/html").alias("declared_mime"))
-    d = read(spark, folder, "documents")
+    d = read_spread(spark, folder, "documents", "doc_id")
     head = (F.when(F.col("lang") == "fr", "%PDF-1.7 /OpenAction ").when(F.col("lang") == "de", "MZ")
             .when(F.col("lang") == "es", '{"text": ').otherwise(""))
     files = d.select(
@@ -129,7 +129,7 @@ def ingest_gate(spark: SparkSession, folder: str) -> DataFrame:
 def html_links(spark: SparkSession, folder: str) -> DataFrame:
     portal = listing.Portal(tuple(DOMAINS), ("/",), "GO", "FINANCE_TREASURY", "Government Order",
                             cues=("/",))
-    found = listing.discover(read(spark, folder, "pages"), portal)
+    found = listing.discover(read_spread(spark, folder, "pages", "page_id"), portal)
     return found.select("page_id", "at", "source_url", "title", "doc_type")
 
 

@@ -13,7 +13,8 @@ from lekhya.operators.access import User
 from lekhya.operators.retrieval import Question
 from lekhya.operators.scale import top_k
 from lekhya.plans.corpus import (GRANTS_SQL, NOTICES_SQL, NOW, RECORDS_SQL, SEVEN, grants,
-                                 notice_chunks, order_notices, read, records)
+                                 notice_chunks, order_notices, read, read_spread,
+                                 records)
 from lekhya.plans.registry import query
 from lekhya.session import stage
 
@@ -42,7 +43,7 @@ def bm25_sql(source: str, id_col: str, text: str, terms: list[str], k: int) -> s
 @query("bm25_topk", "WITH src AS (SELECT * FROM documents)"
        + bm25_sql("src", "doc_id", "text", TERMS, 10))
 def bm25_topk(spark: SparkSession, folder: str) -> DataFrame:
-    hits = retrieval.keyword_search(read(spark, folder, "documents"), TERMS, 10)
+    hits = retrieval.keyword_search(read_spread(spark, folder, "documents", "doc_id"), TERMS, 10)
     return hits.select("doc_id", F.round("score", 6).alias("score"))
 
 
@@ -176,7 +177,7 @@ def search_page(spark: SparkSession, folder: str) -> DataFrame:
     SELECT doc_id, dim, CAST(sum(word) AS BIGINT) AS word_votes, CAST(sum(gram) AS BIGINT) AS ngram_votes
     FROM votes GROUP BY doc_id, dim HAVING sum(word) <> 0 OR sum(gram) <> 0""")
 def hashed_embedding_votes(spark: SparkSession, folder: str) -> DataFrame:
-    docs = read(spark, folder, "documents").select(
+    docs = read_spread(spark, folder, "documents", "doc_id").select(
         "doc_id", vectors.embedding_votes("text").alias("v"))
     both = F.arrays_zip(F.col("v.words"), F.col("v.ngrams"))
     rows = docs.select("doc_id", F.posexplode(both).alias("dim", "x"))
@@ -225,7 +226,7 @@ def rerank_boost(spark: SparkSession, folder: str) -> DataFrame:
 
 def order_questions(spark: SparkSession, folder: str) -> DataFrame:
     """A question about every order: by number, by date, by year, or high-risk."""
-    o = read(spark, folder, "orders")
+    o = read_spread(spark, folder, "orders", "o_orderkey")
     key, day = F.col("o_orderkey"), F.col("o_orderdate")
     form = F.col("o_custkey") % 5
     text = (F.when(form == 0, F.concat(F.lit("What does order no. "), key.cast("string"),
