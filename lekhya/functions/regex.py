@@ -28,10 +28,14 @@ def _next_class(rest: str) -> str:
     """
     rest = rest.lstrip("(")
     if rest.startswith(r"\d"):
-        return r"(?=\p{Nd})"
-    if rest.startswith("["):
-        return f"(?={java_pattern(rest[:rest.index(']') + 1])[len('(?d)'):]})"
-    return ""
+        unit = rest[:2]
+    elif rest.startswith("["):
+        unit = rest[:rest.index("]") + 1]
+    else:
+        return ""
+    if rest[len(unit):].startswith(("*", "?", "{0", "{,")):
+        return ""  # may be absent
+    return f"(?={java_pattern(unit)[len('(?d)'):]})"
 
 
 def _starts_word(rest: str) -> bool:
