@@ -23,19 +23,16 @@ def either(conditions: list[Column]) -> Column:
     return F.coalesce(reduce(lambda a, b: a | b, conditions), F.lit(False))
 
 
-def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``max_rows`` rows; reads no further than that."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
 def join_small(left: DataFrame, small: DataFrame, on: list[str], row_id: str,
                how: str = "left", max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Join a large, possibly skewed side to a side expected to be small.
 
-    Checked small: broadcast, so the large side does not move.  Otherwise the
-    small side is replicated over salts and the large side spread by ``row_id``.
+    The small side is staged and its rows are counted.  Within the bound it is
+    broadcast and the large side does not move; otherwise it is replicated over
+    salts and the large side is spread by ``row_id``.
     """
-    if fits_broadcast(small, max_rows):
+    small = stage(small)
+    if small.count() <= max_rows:
         return left.join(F.broadcast(small), on, how)
     salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     spread = left.withColumn("_salt", F.pmod(F.xxhash64(row_id), F.lit(SALTS)).cast("int"))
@@ -145,8 +142,8 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str,
     for p in percents:
         target = F.greatest(F.ceil(F.lit(p) / 100.0 * F.col("_total")), F.lit(1))
         picks.append(F.min(F.when(F.col("_cum") >= target, F.col(value))).alias(f"p{p:g}"))
-    # the running count is at most one row per distinct value; totals one row per key
-    return ranked.join(totals, keys).groupBy(*keys).agg(*picks).drop("_all")
+    joined = join_small(ranked, totals, keys, value, "inner")
+    return joined.groupBy(*keys).agg(*picks).drop("_all")
 
 
 def stretches(df: DataFrame, keys: list[str], order: list[str], seconds: str,

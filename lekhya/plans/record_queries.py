@@ -481,10 +481,10 @@ def block_resolution(spark: SparkSession, folder: str) -> DataFrame:
         F.count("document_id").alias("documents"))
 
 
-@query("unprocessed_versions", """SELECT c_custkey AS version_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""")
+@query("unprocessed_versions", """SELECT doc_id AS version_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""")
 def unprocessed_versions(spark: SparkSession, folder: str) -> DataFrame:
-    v = read(spark, folder, "customer").select(F.col("c_custkey").alias("version_id"))
-    p = read(spark, folder, "orders").select(F.col("o_custkey").alias("version_id"))
+    v = read(spark, folder, "documents").select(F.col("doc_id").alias("version_id"))
+    p = read(spark, folder, "labels").select(F.col("doc_id").alias("version_id"))
     return catalogue.versions_without_pages(v, p)
 
 

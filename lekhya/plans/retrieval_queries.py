@@ -11,7 +11,7 @@ from lekhya.operators import access, answers, catalogue, evidence, precedents, r
 from lekhya.operators import understanding
 from lekhya.operators.access import User
 from lekhya.operators.retrieval import Question
-from lekhya.operators.scale import top_k
+from lekhya.operators.scale import join_small, top_k
 from lekhya.plans.corpus import (GRANTS_SQL, NOTICES_SQL, NOW, RECORDS_SQL, SEVEN, grants,
                                  notice_chunks, order_notices, read, read_spread,
                                  records)
@@ -201,7 +201,7 @@ def cosine_topk(spark: SparkSession, folder: str) -> DataFrame:
         F.avg(F.col("x").cast("double")).alias("m"))
     means = parts.groupBy("label").agg(F.transform(
         F.array_sort(F.collect_list(F.struct("i", "m"))), lambda p: p["m"]).alias("mean"))
-    scored = e.join(means, "label").select("label", "vec_id", F.round(
+    scored = join_small(e, means, ["label"], "vec_id", "inner", 10_000).select("label", "vec_id", F.round(
         vectors.cosine(F.col("embedding").cast("array<double>"), F.col("mean")), 6)
         .alias("similarity"))
     return top_k(scored, 10, ["label"], [F.desc("similarity"), F.col("vec_id")]).drop("rank")

@@ -465,3 +465,12 @@ def test_soft_filter_and_pages(spark):
     df = spark.range(10)
     assert catalogue.soft_filter(df, [F.col("id") > 100, F.col("id") > 7]).count() == 2
     assert [r[0] for r in catalogue.page(df, [F.desc("id")], 2, 3).collect()] == [6, 5]
+
+
+def test_small_join_gives_the_same_rows_when_salted(spark):
+    left = spark.range(1000).select("id", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 9).alias("k"))
+    small = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "k long, v string")
+    for how in ("left", "inner"):
+        plain = scale.join_small(left, small, ["k"], "id", how)
+        salted = scale.join_small(left, small, ["k"], "id", how, max_rows=0)
+        assert sorted(map(str, plain.select("id", "k", "v").collect())) == sorted(map(str, salted.select("id", "k", "v").collect()))
