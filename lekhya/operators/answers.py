@@ -172,3 +172,14 @@ def audit_rows(responses: DataFrame, users: DataFrame, now: Column) -> DataFrame
         F.lit(1).alias("retrieval_passes"), F.lit(1).alias("answer_passes"), "is_no_answer",
         "is_high_risk", "validation_passed", state.alias("final_state"),
         now.alias("created_at"))
+
+
+def provenance_rows(responses: DataFrame, packet: Packet, now: Column) -> DataFrame:
+    """Append-only provenance: what an answer rested on (at most eight version ids)."""
+    versions = packet.passages.groupBy("query_id").agg(F.array_sort(
+        F.collect_set(F.col("version_id").cast("string"))).alias("index_version_ids"))
+    return responses.join(versions, "query_id", "left").select(
+        request_hash(F.col("clean_query"), F.array(), F.array()).alias("request_hash"),
+        F.col("query_id").alias("trace_id"),
+        F.coalesce("index_version_ids", F.array().cast("array<string>")).alias("index_version_ids"),
+        F.col("outcome").alias("status"), now.alias("at"))

@@ -84,3 +84,34 @@ def test_streams(spark, tmp_path):
     limited = run(streams.rate_limit_stream(source, "user", "id", "ts"), "limited")
     assert len(limited) == 100 and 70 <= sum(r["allowed"] for r in limited) <= 75
     assert len(run(streams.first_calls_stream(source, ["key"], "ts"), "firsts")) == 3
+
+
+def test_gold_questions_are_scored(spark):
+    from lekhya.operators import evaluation, metrics, retrieval
+    from lekhya.operators.retrieval import Question
+    p = packet(spark)
+    records = p.passages.select("document_id", "go_number", "page_start", "department_id", F.lit("en").alias("lang"))
+    gold = evaluation.gold_questions(records)
+    assert gold.count() == 3
+    mine = gold.filter("query_id = 'known-da'").withColumn("query_id", F.lit("q")).unionByName(gold.filter("category = 'no_answer'"))
+    asked = understanding.parse_questions(mine.select("query_id", "text"))
+    out = evaluation.evaluate(mine, p.passages, evidence.citations(p), answers.respond(asked, p))
+    got = metrics.pilot_gate(out).first()
+    assert (got["recall_at_k"], got["page_precision"], got["refusal_rate"], got["leaks"], got["passed"]) == (1., 1., 1., 0, True)
+    assert {(r["level"], r["accuracy"]) for r in metrics.scorecard(out).collect()} == {("overall", 1.), ("department", 1.), ("language", 1.)}
+    assert all(q.refused for q in retrieval.parse(spark, [Question("x", "Metro rail fares under FIN")]))
+    rows = answers.provenance_rows(answers.respond(asked, p), p, F.current_timestamp()).collect()
+    assert {r["trace_id"]: r["index_version_ids"] for r in rows}["q"] == ["va", "vb"]
+
+
+def test_tables_and_cited_source(spark, tmp_path):
+    from lekhya import schemas
+    from lekhya.operators import catalogue
+    schemas.append_table(spark.createDataFrame([("t", 5)], "trace_id string, rating long"), str(tmp_path), "feedback_records")
+    row = schemas.read_table(spark, str(tmp_path), "feedback_records").first()
+    assert (row["trace_id"], row["rating"], row["comment"]) == ("t", 5, None)
+    assert all(spark.createDataFrame([], ddl).columns for ddl in schemas.TABLES.values())
+    blocks = spark.range(30).select(F.lit("v").alias("version_id"), F.lit(1).alias("page_number"), F.col("id").alias("reading_order"), F.col("id").alias("block_id"))
+    cited = spark.createDataFrame([("v", 1)], "version_id string, page_number int")
+    assert catalogue.open_cited_source(blocks, cited).count() == 20
+    assert len(spark.range(1).select(catalogue.config_hash({"b": "1", "a": "2"})).first()[0]) == 64
