@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_STAGED: list[str] = []
+_STAGED: dict[str, list[str]] = {}  # by application, so that no session drops another's
 
 
 def get_session(app: str = "lekhya", master: str | None = None, **conf: str) -> SparkSession:
@@ -33,16 +31,12 @@ def get_session(app: str = "lekhya", master: str | None = None, **conf: str) ->
 
 
 def staging_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a private one only if unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        context = spark.sparkContext
-        current = context.getCheckpointDir()
-        if not current:
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="lekhya-stage-"))
-            current = context.getCheckpointDir()
-        root = current
-    return root
+    """The shared folder named by ``spark.checkpoint.dir``.
+
+    Where that is unset, a folder of the warehouse, which every executor can reach as well.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return root or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_staged"
 
 
 def stage(df: DataFrame) -> DataFrame:
@@ -52,16 +46,16 @@ def stage(df: DataFrame) -> DataFrame:
     one pass over the source.  Columnar, so each branch reads only what it needs.
     """
     spark = df.sparkSession
-    path = os.path.join(staging_root(spark), f"stage-{uuid.uuid4().hex}")
+    path = f"{staging_root(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _STAGED.append(path)
+    _STAGED.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def release_staged(spark: SparkSession) -> None:
-    """Drop the tables this process staged, once nothing reads them any more."""
+    """Drop the tables this application staged, once nothing reads them any more."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _STAGED:
-        path = jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+    for name in _STAGED.pop(spark.sparkContext.applicationId, []):
+        path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(conf).delete(path, True)
