@@ -102,7 +102,7 @@ WITH d AS (SELECT doc_id, source,
                          later AS (ORDER BY cap / weight, nth
                                  ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
      v AS (SELECT *, greatest(0.0::DOUBLE, (budget - clamped) / free) AS level FROM r),
-     n AS (SELECT min(level) FILTER (weight * level < cap) AS level FROM v),
+     n AS (SELECT arg_min(level, cap / weight) FILTER (weight * level < cap) AS level FROM v),
      t AS (SELECT v.source, source_size, least(cap, weight * coalesce(n.level, 1e300)) AS target
            FROM v, n),
      q AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT)
