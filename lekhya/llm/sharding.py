@@ -104,18 +104,25 @@ def best_fit_decreasing(items: list[tuple], capacity: int) -> dict:
 
 
 def within(items: list[tuple], shards: int) -> dict:
-    """Best-fit-decreasing at the least capacity (by bisection) that needs no more bins."""
-    total, most = sum(s for _, s in items), max((s for _, s in items), default=0)
-    low, high = max(-(-total // shards), most), max(total, most)
-    best = best_fit_decreasing(items, high)
+    """Best-fit-decreasing at the least capacity (by bisection) that needs no more bins.
+
+    An item above the mean of what is left gets a bin of its own, so that it does not set the
+    capacity of the others.
+    """
+    placed, rest, total = {}, sorted(items, key=lambda x: (-x[1], x[0])), sum(s for _, s in items)
+    while rest and shards > 1 and rest[0][1] * shards > total:
+        key, size = rest.pop(0)
+        shards, total = shards - 1, total - size
+        placed[key] = shards
+    low, high, best = -(-total // shards), total, {k: 0 for k, _ in rest}
     while low < high:
         middle = (low + high) // 2
-        tried = best_fit_decreasing(items, middle)
+        tried = best_fit_decreasing(rest, middle)
         if max(tried.values(), default=0) < shards:
             best, high = tried, middle
         else:
             low = middle + 1
-    return best if max(best.values(), default=0) < shards else best_fit_decreasing(items, high)
+    return {**placed, **best}
 
 
 def shard(df: DataFrame, group: Column, size: Column, shards: int | None = None,
