@@ -36,6 +36,7 @@ FREQUENT = 32         # tokens in more sets (or groups) than this are frequent
 CLASSES = 4           # of frequent tokens
 QUARTER = np.uint64(1) << np.uint64(62)
 REMEMBERED = 1_000_000
+BROADCAST_KEYS = 1_000_000
 
 
 class WordHashes(dict):
@@ -133,21 +134,33 @@ def _tokens(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInPandas(run, "id long, n int, tokens array<long>")
 
 
-def _counted(sets: DataFrame, rule: Rule) -> DataFrame:
-    """id, n, group, shared: the tokens of each set that other groups have as well, as
-    (groups, token) in order, for sets that may still find a partner in another group.
-
-    ``sets``: id, n, group, tokens.
-    """
-    rows = sets.select("id", "n", "group", F.explode("tokens").alias("token"))
-    groups = (rows.select("token", "group").distinct().groupBy("token")
-              .agg(F.count(F.lit(1)).alias("groups")).filter("groups > 1"))
-    return (rows.join(groups, "token").groupBy("id")
-            .agg(F.first("n").alias("n"), F.first("group").alias("group"),
-                 F.sort_array(F.collect_list(F.struct("groups", "token"))).alias("shared"))
+def _with_shared(sets: DataFrame, rows: DataFrame, counts: DataFrame, rule: Rule) -> DataFrame:
+    """id, n, group, shared: the tokens in ``counts`` of each set as (groups, token) in order,
+    for sets that have enough of them for a partner.  ``rows``: id, token."""
+    return (rows.join(counts, "token").groupBy("id")
+            .agg(F.sort_array(F.collect_list(F.struct("groups", "token"))).alias("shared"))
+            .join(sets.drop("tokens"), "id")
             .filter(f"n - size(shared) <= {rule.spare_sql('n')}"))
 
 
+def _shared_by_sets(sets: DataFrame, rule: Rule) -> DataFrame:
+    """Tokens that other sets have as well; every set is a group of its own."""
+    rows = sets.select("id", F.explode("tokens").alias("token"))
+    counts = rows.groupBy("token").agg(F.count(F.lit(1)).alias("groups")).filter("groups > 1")
+    return _with_shared(sets, rows, counts, rule)
+
+
+def _shared_by_groups(sets: DataFrame, rule: Rule) -> DataFrame:
+    """Tokens that other groups have as well; those of one group only go before any counting."""
+    rows = sets.select("id", "group", F.explode("tokens").alias("token"))
+    several = (rows.groupBy("token").agg(F.min("group").alias("lo"), F.max("group").alias("hi"))
+               .filter("lo <> hi").select("token"))
+    kept = stage(rows.join(several, "token", "left_semi"))
+    counts = (kept.select("token", "group").distinct().groupBy("token")
+              .agg(F.count(F.lit(1)).alias("groups")))
+    return _with_shared(sets, kept.select("id", "token"), counts, rule)
+
+
 def _single_prefixes(counted: DataFrame, rule: Rule) -> DataFrame:
     """token, id, n, pos for the plain prefixes; pos counts from the rarest token."""
     length = F.expr(f"{rule.spare_sql('n')} + 1 - (n - size(shared))")
@@ -218,22 +231,24 @@ def similar_groups(docs: DataFrame, words: int = WORDS, similar: tuple[int, int]
     docs = docs.select(F.col(key).cast("long").alias("doc_id"),
                        F.col(text).cast("binary").alias("text"))
     rows = stage(_sets(docs, words))
-    classes = (rows.filter("n > 0").groupBy("digest")
-               .agg(F.min("doc_id").alias("id"), F.first("n").alias("n"),
-                    F.first("sample").alias("sample")).filter("id IS NOT NULL"))
-    classes = stage(classes)
-    # 2. sets that may have a partner
-    alone = (classes.filter(f"n >= {rule.least}")
-             .select("id", F.explode("sample").alias("token")).groupBy("token")
-             .agg(F.min("id").alias("id"), F.max("id").alias("other")).filter("id = other")
-             .groupBy("id").agg(F.count(F.lit(1)).alias("own")))
-    open_ = (classes.filter(f"n >= {rule.least}").select("id", "n").join(alone, "id", "left")
-             .filter(f"coalesce(own, 0) <= {rule.spare_sql('n')}").select("id", "n"))
-    wanted = open_.select(F.col("id").alias("doc_id"), F.col("n").alias("size"))
-    sets = stage(_tokens(docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi"),
-                         words).join(open_, ["id", "n"], "left_semi").dropDuplicates(["id"]))
+    classes = stage(rows.filter("n > 0").groupBy("digest")
+                    .agg(F.min("doc_id").alias("id"), F.first("n").alias("n"))
+                    .filter("id IS NOT NULL"))
+    # 2. sets that may have a partner; tokens of equal sets count as shared here
+    alone = (rows.filter(f"n >= {rule.least}")
+             .select(F.col("doc_id").alias("id"), F.explode("sample").alias("token"))
+             .groupBy("token").agg(F.min("id").alias("id"), F.max("id").alias("other"))
+             .filter("id = other").groupBy("id").agg(F.count(F.lit(1)).alias("own")))
+    open_ = stage(classes.filter(f"n >= {rule.least}").select("id", "n").join(alone, "id", "left")
+                  .filter(f"coalesce(own, 0) <= {rule.spare_sql('n')}").select("id", "n"))
+    wanted = open_.select(F.col("id").alias("doc_id"))
+    if open_.count() <= BROADCAST_KEYS:  # a row is one key, so this bounds the bytes as well
+        wanted = F.broadcast(wanted)
+    sets = stage(_tokens(docs.join(wanted, "doc_id", "left_semi"), words)
+                 .join(open_, ["id", "n"], "left_semi").dropDuplicates(["id"]))
     # 3. leaders
-    first = stage(_single_prefixes(_counted(sets.withColumn("group", F.col("id")), rule), rule))
+    shared = stage(_shared_by_sets(sets.withColumn("group", F.col("id")), rule))
+    first = stage(_single_prefixes(shared, rule))
     leaders = first.groupBy("token").agg(
         F.min_by(F.struct("id", "n", "pos"), F.struct("pos", "id")).alias("y"))
     pairs = (first.alias("x").join(leaders, "token").filter("x.id <> y.id")
@@ -243,9 +258,10 @@ def similar_groups(docs: DataFrame, words: int = WORDS, similar: tuple[int, int]
     links = stage(_verified(pairs, sets, rule))
     groups = stage(components(links))
     # 4. links between groups
-    grouped = sets.join(groups.select(F.col("node").alias("id"), "component"), "id", "left") \
-        .withColumn("group", F.coalesce("component", "id")).drop("component")
-    index = stage(_signatures(_counted(grouped, rule), rule, frequent))
+    grouped = (shared.select("id", "n", F.expr("transform(shared, s -> s.token)").alias("tokens"))
+               .join(groups.select(F.col("node").alias("id"), "component"), "id", "left")
+               .withColumn("group", F.coalesce("component", "id")).drop("component"))
+    index = stage(_signatures(_shared_by_groups(grouped, rule), rule, frequent))
     busy = index.groupBy("sig").agg(F.min("group").alias("lo"), F.max("group").alias("hi")) \
         .filter("lo <> hi").select("sig")
     met = stage(index.join(busy, "sig", "left_semi"))
