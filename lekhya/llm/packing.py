@@ -12,6 +12,7 @@ their number is bounded by tasks x open sequences.
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -26,45 +27,68 @@ from lekhya.session import stage
 CAPACITY = 4096
 OPEN = 512         # open sequences per task
 FAN_IN = 16        # tasks of a round that one task of the next takes up
-CACHED = 300_000   # words whose ids a worker remembers
+CACHED = 300_000   # words whose ids a worker remembers, twice at most
 LONG_WORD = 64     # longer ones are not remembered
 
+# How the tokenizer cuts lower-case words of ASCII and Latin-1 letters; others it cuts itself.
+PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
+PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]"
+                   "|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+
 PIECES = ("doc_id long, piece int, start long, length long, ids_crc32 long, "
           "sequence_id long, offset long")
 
 
+class Memo(dict):
+    """Remembers results of ``make``; when full, it keeps the last ``limit`` at hand and
+    starts anew, so what recurs is not lost."""
+
+    def __init__(self, make, limit: int):
+        super().__init__()
+        self.make, self.limit, self.old = make, limit, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= LONG_WORD:
+            if len(self) >= self.limit:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
+def byte_letters() -> dict[int, str]:
+    """The printable character that byte-level models use for each byte."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return {b: chr(b) if b in shown else chr(next(rest)) for b in range(256)}
+
+
 class WordIds:
-    """Ids of a text as little-endian bytes, from ids remembered per word.
+    """Ids of a text as little-endian bytes, from ids remembered per word and word part.
 
-    Right for tokenizers that never join characters across a space or a newline, as those
-    that drop white space; the memory is emptied when it is full.
+    For the word-end BPE of ``word_bpe_49k.json``, whose parts never span a space or a newline.
     """
 
     def __init__(self, path: str, cached: int = CACHED):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cached = Tokenizer.from_file(path), cached
-        self.known: dict[str, bytes] = {}
+        self.tokenizer, self.letters = Tokenizer.from_file(path), byte_letters()
+        self.words, self.parts = Memo(self._word, cached), Memo(self._part, cached)
+
+    def _part(self, part: str) -> bytes:
+        shown = part if part.isascii() else "".join(map(self.letters.__getitem__, part.encode()))
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
 
-    def learn(self, words: set[str]) -> dict[str, bytes]:
-        """Look up unknown words in one batch; returns those that are too long to keep."""
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > self.cached:
-            self.known.clear()
-            new = list(words)
-        once = {}
-        for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            (self.known if len(w) <= LONG_WORD else once)[w] = array("I", e.ids).tobytes()
-        return once
+    def _word(self, word: str) -> bytes:
+        if "<|" in word or not PLAIN.fullmatch(word):
+            return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        return b"".join(map(self.parts.__getitem__, PARTS.findall(word.lower())))
 
     def __call__(self, text: str) -> bytes:
-        words = text.replace("\n", " ").split(" ")
-        try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            once = self.learn(set(words))
-            known = {**self.known, **once} if once else self.known
-            return b"".join(map(known.__getitem__, words))
+        return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 class BestFit:
