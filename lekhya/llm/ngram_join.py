@@ -35,7 +35,7 @@ SIMILAR = (85, 100)   # numerator, denominator
 FREQUENT = 32         # tokens in more sets (or groups) than this are frequent
 CLASSES = 4           # of frequent tokens
 QUARTER = np.uint64(1) << np.uint64(62)
-REMEMBERED = 1_000_000
+REMEMBERED = 200_000
 BROADCAST_KEYS = 1_000_000
 
 
