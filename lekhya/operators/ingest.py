@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lekhya import fixed_values as fv
 from lekhya.functions.text import strip, text_or_empty
-from lekhya.operators.scale import either, previous_row
+from lekhya.operators.scale import either, previous_row, running
 
 # --- URLs -------------------------------------------------------------------
 
@@ -61,13 +61,12 @@ def _starts(data: Column, *prefixes: bytes) -> Column:
 
 
 def detect_mime(data: Column) -> Column:
-    """File type by magic bytes; text only if its first KiB decodes as UTF-8."""
-    body = F.ltrim(F.decode(F.substring(data, 1, 256), "ISO-8859-1"), F.lit(" \t\n\r\x0b\x0c"))
+    """File type by magic bytes; markup after any white space; text if all of it is UTF-8."""
+    body = F.ltrim(F.decode(data, "ISO-8859-1"), F.lit(" \t\n\r\x0b\x0c"))
 
     def opens(*marks: str) -> Column:
         return either([F.startswith(body, F.lit(m)) for m in marks])
 
-    head = F.substring(data, 1, 1024)
     return (F.when(F.coalesce(F.length(data), F.lit(0)) == 0, "application/x-empty")
              .when(_starts(data, b"%PDF-"), "application/pdf")
              .when(_starts(data, b"\x89PNG\r\n\x1a\n"), "image/png")
@@ -76,7 +75,7 @@ def detect_mime(data: Column) -> Column:
              .when(opens("<!DOCTYPE", "<html", "<HTML"), "text/html")
              .when(opens("<?xml"), "application/xml")
              .when(opens("{", "["), "application/json")
-             .when(F.is_valid_utf8(head.cast("string")), "text/plain")
+             .when(F.is_valid_utf8(data.cast("string")), "text/plain")
              .otherwise("application/octet-stream"))
 
 
@@ -105,8 +104,8 @@ def content_issues(data: Column, declared: Column, mime: Column,
 
 def effective_status(http_status: Column, url: Column, data: Column) -> Column:
     """The HTTP status with disguised not-found pages turned into 404."""
-    head = F.lower(F.decode(F.substring(data, 1, 1024), "ISO-8859-1"))
-    missing = F.contains(head, F.lit("<title>404")) | F.contains(head, F.lit("notfound")) | (
+    text = F.lower(F.decode(data, "ISO-8859-1"))
+    missing = F.contains(text, F.lit("<title>404")) | F.contains(text, F.lit("notfound")) | (
         F.endswith(F.lower(url), F.lit(".pdf")) & ~_starts(data, b"%PDF"))
     return F.when((http_status == 200) & missing, 404).otherwise(http_status)
 
@@ -157,9 +156,8 @@ def new_versions(accepted: DataFrame, known: DataFrame) -> DataFrame:
                                        ["source_id", "url", "sha256"], "left_anti"),
                          ["source_id", "url", "sha256"], ["retrieved_at"])
     version_id = F.sha2(F.concat_ws("|", "source_id", "url", "sha256"), 256)
-    fresh = fresh.withColumn("version_id", F.concat(F.lit("ver_"), F.substring(version_id, 1, 16)))
-    document_id = F.concat(F.lit("doc_"), F.substring(
-        F.sha2(F.concat_ws("|", "source_id", "url"), 256), 1, 16))
+    fresh = fresh.withColumn("version_id", F.concat(F.lit("ver_"), version_id))
+    document_id = F.concat(F.lit("doc_"), F.sha2(F.concat_ws("|", "source_id", "url"), 256))
     fresh = fresh.withColumn("document_id", document_id)
     latest = known.groupBy("source_id", "url").agg(
         F.max_by(F.struct("version_id", "document_id"),
@@ -280,7 +278,8 @@ def hmac_sha256(message: Column, key: str) -> Column:
 
 def _json_value(c: Column) -> Column:
     """A JSON scalar, non-ASCII characters escaped."""
-    escaped = F.regexp_replace(F.to_json(F.array(c.cast("string"))), r"^\[|\]$", "")
+    escaped = F.regexp_replace(F.to_json(
+        F.array(c.cast("string")), {"writeNonAsciiCharacterAsCodePoint": "true"}), r"^\[|\]$", "")
     return F.when(c.isNull(), "null").otherwise(escaped)
 
 
@@ -333,6 +332,10 @@ def verify_inventory(records: DataFrame, inventory: DataFrame, key: str,
     return rows.select(group, problem.isNull().alias("valid"), problem.alias("problem"))
 
 
-def ordered_inventory(records: DataFrame) -> DataFrame:
-    """Inventory rows in canonical order (address, retrieval time, version)."""
-    return records.orderBy("source_url", F.coalesce("retrieved_at", F.lit("")), "version_id")
+def inventory_positions(records: DataFrame, group: str = "source_id") -> DataFrame:
+    """Add ``position``: the place of every record in its source's inventory, from 1, in
+    canonical order (address, retrieval time, version)."""
+    timed = records.withColumn("_time", F.coalesce("retrieved_at", F.lit(""))) \
+        .withColumn("_one", F.lit(1).cast("long"))
+    return running(timed, [group], ["source_url", "_time", "version_id"], "_one",
+                   "position").drop("_time", "_one")

@@ -345,9 +345,8 @@ def search_all(chunks: DataFrame, questions: list[Question], **options) -> DataF
 
 def search_page(chunks: DataFrame, questions: list[Question], limit: int = 10, offset: int = 0,
                 **options) -> DataFrame:
-    """A page of ranked evidence; retrieval depth is limit + offset, at most 100."""
-    depth = min(100, limit + offset)
-    found = search(chunks, questions, k=depth, **options)
+    """A page of ranked evidence; any page can be reached, as depth is limit + offset."""
+    found = search(chunks, questions, k=limit + offset, **options)
     return found.filter(F.col("rank").between(offset + 1, offset + limit))
 
 

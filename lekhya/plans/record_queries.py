@@ -26,7 +26,7 @@ _HOST = "lower(regexp_replace(regexp_replace(regexp_extract(u, '^[A-Za-z][A-Za-z
       substr(regexp_replace(url, '#.*$', ''), length(regexp_extract(url, '^[A-Za-z]+://[^/?#]*')) + 1) AS url FROM u""")
 def url_canonical(spark: SparkSession, folder: str) -> DataFrame:
     p = read(spark, folder, "pages")
-    shouted = F.concat(F.upper(F.substring("url", 1, 12)), F.substring("url", 13, 10000))
+    shouted = F.concat(F.upper(F.substring("url", 1, 12)), F.expr("substr(url, 13)"))
     return p.select("page_id", ingest.canonical_url(shouted).alias("url"))
 
 
@@ -88,9 +88,8 @@ def _sniff(df: DataFrame) -> DataFrame:
     return df.withColumn("mime", ingest.detect_mime(F.col("data")))
 
 
-@query("mime_sniff")
+@query("mime_sniff", f"WITH {_FETCHED_SQL} SELECT source_id, mime, count(*) AS items FROM typed GROUP BY ALL")
 def mime_sniff(spark: SparkSession, folder: str) -> DataFrame:
-    """Text types depend on where byte 1024 falls, so the check is a brute-force test."""
     return _sniff(fetched(spark, folder)).groupBy("source_id", "mime").agg(
         F.count(F.lit(1)).alias("items"))
 
@@ -114,7 +113,7 @@ def content_issues(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("ingest_gate", f"""WITH {_FETCHED_SQL}, s AS (SELECT source_id, {_HOST} AS host, u,
       regexp_extract(u, '^[a-z]+://[^/?#]*([^?#;]*)', 1) AS path,
-      CASE WHEN st = 200 AND (contains(lower(substr(t, 1, 1024)), '<title>404') OR contains(lower(substr(t, 1, 1024)), 'notfound')
+      CASE WHEN st = 200 AND (contains(lower(t), '<title>404') OR contains(lower(t), 'notfound')
         OR (lower(regexp_replace(u, '#.*$', '')) LIKE '%.pdf' AND NOT starts_with(t, '%PDF'))) THEN 404 ELSE st END AS st FROM typed)
     SELECT source_id, CASE WHEN NOT ((host IN ('example.com', 'blog.tionsh.example.net', 'example.org') OR host LIKE '%.example.com'
       OR host LIKE '%.blog.tionsh.example.net' OR host LIKE '%.example.org') AND (starts_with(path, '/en') OR starts_with(path, '/de')))
@@ -260,10 +259,16 @@ def _limb(i: int) -> str:
     return f"lpad(to_hex(CAST(sum(CAST('0x' || substr(m, {8 * i + 1}, 8) AS BIGINT)) % 4294967296 AS BIGINT)), 8, '0')"
 
 
+def _ascii(text: str) -> str:
+    """A JSON string with characters beyond ASCII as code points."""
+    return (f"list_aggregate(list_transform(string_split({text}, ''), lambda c: CASE WHEN unicode(c) < 128 "
+            "THEN c ELSE '\\u' || printf('%04X', unicode(c)) END), 'string_agg', '')")
+
+
 @query("signed_inventory", f"""WITH {RECORDS_SQL}, j AS (SELECT source_id, concat(
       '{{"department_id":', to_json(department_id), ',"doc_type":', to_json(doc_type), ',"document_id":', document_id,
       ',"go_number":', to_json(go_number), ',"retrieved_at":', to_json(CAST(order_date AS VARCHAR)),
-      ',"sha256":', to_json(sha256(content)), ',"source_url":', to_json(source_url), ',"title":', to_json(title), '}}') AS record FROM records),
+      ',"sha256":', to_json(sha256(content)), ',"source_url":', to_json(source_url), ',"title":', {_ascii('to_json(title)')}, '}}') AS record FROM records),
     m AS (SELECT source_id, {hmac_sql('record')} AS m FROM j),
     s AS (SELECT source_id, count(*) AS total_records, lower(concat_ws(':', {", ".join(_limb(i) for i in range(8))})) AS digest
       FROM m GROUP BY source_id)
@@ -282,11 +287,11 @@ def inventory_verification(spark: SparkSession, folder: str) -> DataFrame:
     return ingest.verify_inventory(edited, inventory, KEY).select("source_id", "valid")
 
 
-@query("inventory_order", f"""WITH {RECORDS_SQL} SELECT source_id, source_url, document_id AS version_id FROM records
-    ORDER BY source_url, CAST(order_date AS VARCHAR), document_id LIMIT 100""")
+@query("inventory_order", f"""WITH {RECORDS_SQL} SELECT source_id, source_url, document_id AS version_id,
+    row_number() OVER (PARTITION BY source_id ORDER BY source_url, CAST(order_date AS VARCHAR), document_id) AS position FROM records""")
 def inventory_order(spark: SparkSession, folder: str) -> DataFrame:
-    rows = ingest.ordered_inventory(inventory_records(spark, folder))
-    return rows.select("source_id", "source_url", "version_id").limit(100)
+    rows = ingest.inventory_positions(inventory_records(spark, folder))
+    return rows.select("source_id", "source_url", "version_id", "position")
 
 
 @query("source_validation", """WITH s AS (SELECT s_suppkey, s_name, CASE WHEN s_acctbal < 0 THEN '' ELSE s_name END AS contact,
@@ -441,7 +446,8 @@ def audit_recent(spark: SparkSession, folder: str) -> DataFrame:
     return catalogue.page(e, [F.desc("ts"), F.col("event_id")], 50)
 
 
-_TABLES = ("orders", "lineitem", "customer", "documents", "conversations", "events")
+_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
+           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
 @query("table_counts", " UNION ALL ".join(

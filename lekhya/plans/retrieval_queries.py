@@ -354,7 +354,8 @@ def notice_edges(spark: SparkSession, folder: str) -> DataFrame:
     attributes = n.select(F.col("number").alias("order_number"),
                           F.col("notice_id").alias("document_id"))
     resolved = precedents.resolve_targets(refs, versions, attributes)
-    edge = F.col("source_document_id") * 100 + F.col("family") * 10 + F.col("at")
+    # 4 bits for the family and 20 for the place of the citation in its text
+    edge = F.col("source_document_id") * (1 << 24) + F.col("family") * (1 << 20) + F.col("at")
     return resolved.select(edge.alias("edge_id"), "source_document_id",
                            F.col("source_document_id").alias("source_version_id"),
                            "target_document_id", "cited_order_number", "relation_type")

@@ -73,7 +73,7 @@ def ocr_blocks(tsv: DataFrame, page_keys: list[str]) -> DataFrame:
     boxes = (tsv.filter("level = 2").groupBy(*page_keys, "block_num")
              .agg(F.max_by(F.array("left", "top", right, bottom), "word_num").alias("own")))
     words = tsv.filter("level = 5 AND conf >= 0 AND trim(text) <> ''").select(
-        *page_keys, "block_num", (F.col("par_num") * 1000 + F.col("line_num")).alias("line"),
+        *page_keys, "block_num", F.struct("par_num", "line_num").alias("line"),
         "word_num", F.trim("text").alias("text"),
         F.least("conf", F.lit(100.0)).alias("conf"), "left", "top",
         right.alias("right"), bottom.alias("bottom"))
@@ -124,7 +124,8 @@ def append_objects(incoming: DataFrame, path: str) -> int:
     """Append objects to a write-once store; returns how many were new.
 
     ``incoming``: object_key, sha256, data.  The same object again is no-op; another
-    content under a stored key, or a wrong checksum, stops the append.
+    content under a stored key, several contents under one key of the batch, or a wrong
+    checksum stop the append before anything is written.
     """
     spark = incoming.sparkSession
     batch = stage(incoming)
@@ -136,6 +137,10 @@ def append_objects(incoming: DataFrame, path: str) -> int:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         stored = spark.createDataFrame([], "object_key string, sha256 string")
+    keys = batch.groupBy("object_key").agg(F.min(F.lower("sha256")).alias("lo"),
+                                           F.max(F.lower("sha256")).alias("hi"))
+    if not keys.filter("lo <> hi").isEmpty():
+        raise ValueError("one key with several contents in the batch")
     if not immutable_conflicts(batch, stored).isEmpty():
         raise ValueError("stored key with other content")
     fresh = stage(immutable_appends(batch.dropDuplicates(["object_key"]), stored))

@@ -2,6 +2,7 @@
 
 import hashlib
 import hmac
+import json
 import math
 import random
 from collections import Counter
@@ -189,21 +190,20 @@ def test_claims(spark):
 # --- chunking -------------------------------------------------------------------------
 
 
-def plain_chunks(units):
-    out, cur, tok = [], [], 0
-    for u in units:
-        new = u.heading and bool(cur) and (u.page != cur[0].page or tok >= 350)
-        if new or (tok + u.tokens > 700 and tok >= 350):
-            out.append(cur)
-            tail, n = [], 0
-            if not new:
-                for v in [x for x in cur[::-1] if not x.heading]:
-                    tail, n = [v] + tail, n + v.tokens
-                    if n >= 60:
-                        break
-            cur, tok = tail, n
-        cur, tok = cur + [u], tok + u.tokens
-    return out + [cur] if cur else out
+def chunks_by_rule(units):
+    """Chunks as (carried, first, last) index lists, from the rule on token sums."""
+    tokens = [u.tokens for u in units]
+    carried, first, out = [], 0, []
+    for i, u in enumerate(units):
+        chunk = carried + list(range(first, i))
+        size = sum(tokens[k] for k in chunk)
+        section = bool(chunk) and u.heading and (units[chunk[0]].page != u.page or size >= 350)
+        if section or (size >= 350 and size + u.tokens > 700):
+            out.append(chunk)
+            body = [] if section else [k for k in chunk if not units[k].heading]
+            enough = [n for n in range(len(body)) if sum(tokens[k] for k in body[n:]) >= 60]
+            carried, first = body[max(enough, default=0):], i
+    return [[units[k] for k in c] for c in [*out, carried + list(range(first, len(units)))] if c]
 
 
 def test_chunk_blocks_splits_sections_like_one_pass(spark):
@@ -222,7 +222,7 @@ def test_chunk_blocks_splits_sections_like_one_pass(spark):
     want = []
     for v in range(3):
         blocks = [(r[4], r[5], r[1], r[3], r[6]) for r in rows if r[0] == v]
-        want += [(v, i, chunking.assemble(i, g)) for i, g in enumerate(plain_chunks(list(chunking.bind_units(blocks))))]
+        want += [(v, i, chunking.assemble(i, g)) for i, g in enumerate(chunks_by_rule(list(chunking.bind_units(blocks))))]
     assert [(r["version_id"], r["chunk_index"], r["content"], r["block_ids"], r["section_heading"]) for r in got] == [
         (v, i, c["content"], c["block_ids"], c["section_heading"]) for v, i, c in want]
     assert {b for r in got for b in r["block_ids"]} == {r[3] for r in rows}
@@ -337,7 +337,7 @@ def test_content_checks(spark):
     split = "a" * 1023 + "é"
     rows = [(b"", None, "application/x-empty", 1), (b"%PDF-1 /JS ", "application/pdf", "application/pdf", 1), (b"%PDF-1 /JSX", None, "application/pdf", 0),
             (b"MZ\x90", None, "application/octet-stream", 1), (b"  <!DOCTYPE x", "text/html", "text/html", 0), (b"hello", "application/pdf", "text/plain", 1),
-            (b"\x89PNG\r\n\x1a\n", None, "image/png", 0), (b"[1]", None, "application/json", 0), (split.encode(), None, "application/octet-stream", 0)]
+            (b"\x89PNG\r\n\x1a\n", None, "image/png", 0), (b"[1]", None, "application/json", 0), (split.encode(), None, "text/plain", 0)]
     df = spark.createDataFrame([(i, bytearray(d), m) for i, (d, m, _, _) in enumerate(rows)], "i int, data binary, declared string")
     got = df.withColumn("mime", ingest.detect_mime(F.col("data"))).withColumn(
         "issues", ingest.content_issues(F.col("data"), F.col("declared"), F.col("mime"))).orderBy("i").collect()
@@ -474,3 +474,37 @@ def test_small_join_gives_the_same_rows_when_salted(spark):
         plain = scale.join_small(left, small, ["k"], "id", how)
         salted = scale.join_small(left, small, ["k"], "id", how, max_rows=0)
         assert sorted(map(str, plain.select("id", "k", "v").collect())) == sorted(map(str, salted.select("id", "k", "v").collect()))
+
+
+# --- defects found in review ---------------------------------------------------------------
+
+
+def test_content_is_judged_whole(spark):
+    rows = [(1, b" " * 3000 + b"<html>", "text/html"), (2, b"a" * 1023 + "\u0939".encode(), "text/plain"),
+            (3, b"a" * 5000 + b"\xff", "application/octet-stream")]
+    df = spark.createDataFrame([(i, bytearray(d)) for i, d, _ in rows], "i int, data binary")
+    got = {r.i: r.m for r in df.select("i", ingest.detect_mime(F.col("data")).alias("m")).collect()}
+    assert got == {i: m for i, _, m in rows}
+    late = spark.createDataFrame([(bytearray(b"x" * 4000 + b"<title>404"),)], "data binary")
+    status = ingest.effective_status(F.lit(200), F.lit("http://a/b"), F.col("data"))
+    assert late.select(status).first()[0] == 404
+
+
+def test_canonical_json_is_ascii(spark):
+    df = spark.createDataFrame([("\u0936\u093e\u0938\u0928",)], "t string")
+    got = df.select(ingest.canonical_record({"t": F.col("t")})).first()[0]
+    assert got.isascii() and json.loads(got) == {"t": "\u0936\u093e\u0938\u0928"}
+
+
+def test_lines_past_a_thousand_stay_apart(spark):
+    rows = [(1, 5, 1, 1, 1000, 1, 0.0, 0.0, 5.0, 5.0, 90.0, "a"), (1, 5, 1, 2, 0, 1, 0.0, 9.0, 5.0, 5.0, 90.0, "b")]
+    df = spark.createDataFrame(rows, "page int, level int, block_num int, par_num int, line_num int, word_num int, left double, top double, width double, height double, conf double, text string")
+    assert files.ocr_blocks(df, ["page"]).first()["text"] == "a\nb"
+
+
+def test_one_key_with_two_contents_stops_the_append(spark, tmp_path):
+    rows = [("k", hashlib.sha256(d).hexdigest(), bytearray(d)) for d in (b"one", b"two")]
+    df = spark.createDataFrame(rows, "object_key string, sha256 string, data binary")
+    with pytest.raises(ValueError, match="several contents"):
+        files.append_objects(df, str(tmp_path / "store"))
+    assert not (tmp_path / "store").exists()
