@@ -9,10 +9,11 @@ from lekhya.session import get_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = get_session("tests", "local[4]", **{
         "spark.sql.shuffle.partitions": "4", "spark.ui.showConsoleProgress": "false",
-        "spark.driver.memory": "8g"})
+        "spark.driver.memory": "8g",
+        "spark.checkpoint.dir": tmp_path_factory.mktemp("shared").as_uri()})
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
