@@ -1,6 +1,7 @@
 """Registered queries over the given tables."""
 
-from lekhya.plans import record_queries, retrieval_queries, text_queries  # noqa: F401
+from lekhya.plans import (flow_queries, record_queries, retrieval_queries,  # noqa: F401
+                          text_queries)
 from lekhya.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
