@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from lekhya import fixed_values as fv
 from lekhya.functions.text import strip, text_or_empty
 from lekhya.operators.scale import either, previous_row, running
+from lekhya.session import stage
 
 # --- URLs -------------------------------------------------------------------
 
@@ -171,6 +172,28 @@ def new_versions(accepted: DataFrame, known: DataFrame) -> DataFrame:
             .drop("_previous", "_known", "copies"))
 
 
+def ingest_run(items: DataFrame, known: DataFrame, domains: list[str],
+               prefixes: list[str]) -> tuple[DataFrame, DataFrame]:
+    """One run from fetched items to versions: (new versions, job rows).
+
+    ``items`` as for :func:`gate_items`, with retrieved_at; ``known`` as for
+    :func:`new_versions`.  Job rows count the items of each source by outcome: a failed stage,
+    NEW_VERSION or UNCHANGED.  Both results are staged before either is returned, so a run
+    that fails yields nothing, and a second run over its versions adds nothing.
+    """
+    gated = stage(gate_items(items, domains, prefixes).select(
+        "source_id", "url", "sha256", "mime", "byte_size", "provenance_status", "retrieved_at",
+        "failed_stage"))
+    versions = stage(new_versions(gated.filter("failed_stage IS NULL").drop("failed_stage"), known))
+    key = ["source_id", "url", "sha256"]
+    made = versions.select(*key, F.lit(True).alias("_made"))
+    outcome = F.when(F.col("failed_stage").isNotNull(), F.col("failed_stage")).when(
+        F.col("_made"), "NEW_VERSION").otherwise("UNCHANGED")
+    jobs = (gated.join(made, key, "left").withColumn("outcome", outcome)
+            .groupBy("source_id", "outcome").agg(F.count(F.lit(1)).alias("items")))
+    return versions, stage(jobs)
+
+
 def quarantine_missing(documents: DataFrame, known: DataFrame, seen_urls: DataFrame) -> DataFrame:
     """Active documents none of whose addresses turned up in a complete crawl.
 

@@ -124,6 +124,24 @@ def ingest_gate(spark: SparkSession, folder: str) -> DataFrame:
     return gated.groupBy("source_id", stage_name.alias("stage")).agg(F.count(F.lit(1)).alias("items"))
 
 
+@query("ingest_run", f"""WITH {_FETCHED_SQL}, s AS (SELECT source_id, item_id, {_HOST} AS host, u,
+      regexp_extract(u, '^[a-z]+://[^/?#]*([^?#;]*)', 1) AS path,
+      CASE WHEN st = 200 AND (contains(lower(t), '<title>404') OR contains(lower(t), 'notfound')
+        OR (lower(regexp_replace(u, '#.*$', '')) LIKE '%.pdf' AND NOT starts_with(t, '%PDF'))) THEN 404 ELSE st END AS st FROM typed)
+    SELECT source_id, CASE WHEN NOT ((host IN ('example.com', 'blog.tionsh.example.net', 'example.org') OR host LIKE '%.example.com'
+      OR host LIKE '%.blog.tionsh.example.net' OR host LIKE '%.example.org') AND (starts_with(path, '/en') OR starts_with(path, '/de')))
+      THEN 'url_guard' WHEN st <> 200 THEN 'http_status' WHEN item_id % 2 = 0 THEN 'UNCHANGED' ELSE 'NEW_VERSION' END AS outcome,
+      count(*) AS items FROM s GROUP BY ALL""")
+def ingest_run(spark: SparkSession, folder: str) -> DataFrame:
+    """A first run takes every second item, a second run all of them."""
+    items = fetched(spark, folder).withColumn("retrieved_at", F.lit(datetime(2024, 1, 1)) + F.expr(
+        "make_dt_interval(0, 0, 0, item_id % 2)"))
+    none = spark.createDataFrame([], "version_id string, document_id string, source_id string, "
+                                     "url string, sha256 string, retrieved_at timestamp")
+    known, _ = ingest.ingest_run(items.filter("item_id % 2 = 0"), none, DOMAINS, PREFIXES)
+    return ingest.ingest_run(items, known, DOMAINS, PREFIXES)[1]
+
+
 @query("html_links")
 def html_links(spark: SparkSession, folder: str) -> DataFrame:
     portal = listing.Portal(tuple(DOMAINS), ("/",), "GO", "FINANCE_TREASURY", "Government Order",
@@ -440,6 +458,14 @@ def documents_page(spark: SparkSession, folder: str) -> DataFrame:
                           [F.desc("order_date"), F.col("document_id")], 20, 20)
 
 
+@query("audit_page", """SELECT event_id, ts, user_id, (SELECT count(*) FROM events WHERE event_type = 'error') AS total
+    FROM events WHERE event_type = 'error' ORDER BY ts DESC, event_id LIMIT 50 OFFSET 50""")
+def audit_page(spark: SparkSession, folder: str) -> DataFrame:
+    """The second page of the errors, with how many there are."""
+    e = read(spark, folder, "events").filter("event_type = 'error'").select("event_id", "ts", "user_id")
+    return catalogue.page(e, [F.desc("ts"), F.col("event_id")], 50, 50, total="total")
+
+
 @query("audit_recent", """SELECT event_id, ts, user_id, event_type FROM events ORDER BY ts DESC, event_id LIMIT 50""")
 def audit_recent(spark: SparkSession, folder: str) -> DataFrame:
     e = read(spark, folder, "events").select("event_id", "ts", "user_id", "event_type")

@@ -508,3 +508,20 @@ def test_one_key_with_two_contents_stops_the_append(spark, tmp_path):
     with pytest.raises(ValueError, match="several contents"):
         files.append_objects(df, str(tmp_path / "store"))
     assert not (tmp_path / "store").exists()
+
+
+def test_a_second_run_adds_nothing(spark):
+    at = datetime(2024, 1, 1)
+    items = spark.createDataFrame(
+        [("s", "https://a.org/x/1", bytearray(b"one"), 200, "text/plain", at),
+         ("s", "https://a.org/x/2", bytearray(b"two"), 404, "text/plain", at),
+         ("s", "https://b.org/x/3", bytearray(b"three"), 200, "text/plain", at)],
+        "source_id string, url string, data binary, http_status int, declared_mime string, retrieved_at timestamp")
+    none = spark.createDataFrame([], "version_id string, document_id string, source_id string, url string, sha256 string, retrieved_at timestamp")
+    versions, jobs = ingest.ingest_run(items, none, ["a.org"], ["/x"])
+    assert {(r.outcome, r["items"]) for r in jobs.collect()} == {("NEW_VERSION", 1), ("http_status", 1), ("url_guard", 1)}
+    again, jobs = ingest.ingest_run(items, versions, ["a.org"], ["/x"])
+    assert again.count() == 0 and ("UNCHANGED", 1) in {(r.outcome, r["items"]) for r in jobs.collect()}
+    changed = items.withColumn("data", F.encode(F.lit("other"), "UTF-8"))
+    new = ingest.ingest_run(changed, versions, ["a.org"], ["/x"])[0].collect()
+    assert [r.supersedes_version_id for r in new] == [versions.first().version_id]
