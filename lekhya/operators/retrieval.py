@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lekhya import fixed_values as fv
 from lekhya.functions.text import py_tokens, text_or_empty, tokens
-from lekhya.functions.vectors import embed, similarity_to
+from lekhya.functions.vectors import embed, embedding, similarity_to
 from lekhya.operators.access import (User, active_grants, approved, class_grants, searchable,
                                      visible)
 from lekhya.operators.scale import either, top_k as keep_top
@@ -333,9 +333,17 @@ def search(chunks: DataFrame, questions: list[Question], k: int = 10, rerank: bo
         F.col("cos").alias("vector_score"), "go_match")
 
 
+def with_embeddings(chunks: DataFrame) -> DataFrame:
+    """Add the vector of each chunk, to be stored with it; searches then compute none."""
+    return chunks.withColumn("embedding", embedding(F.concat_ws(
+        " ", text_or_empty(F.col("subject")), text_or_empty(F.col("content")))))
+
+
 def search_all(chunks: DataFrame, questions: list[Question], **options) -> DataFrame:
-    """A batch of any length, one slice at a time."""
+    """A batch of any length, one slice at a time; chunks are embedded once for all slices."""
     slices = [questions[i:i + SLICE] for i in range(0, len(questions), SLICE)]
+    if len(slices) > 1 and "embedding" not in chunks.columns:
+        chunks = stage(with_embeddings(chunks))
     parts = [search(chunks, part, **options) for part in slices]
     out = parts[0]
     for part in parts[1:]:

@@ -144,6 +144,8 @@ def test_hybrid_search_against_brute_force(spark):
         assert {i for i, s in mine if s > want[-1][1] + 1e-3} <= {i for i, _ in want} if want else not mine
     public = {r["chunk_id"] for r in rows if r["classification"] == "PUBLIC"}
     assert all(r["chunk_id"] in public for r in got if r["query_id"] != "b")
+    stored = retrieval.search_all(retrieval.with_embeddings(chunks), questions, k=5)
+    assert stored.orderBy("query_id", "rank").collect() == got
     page = retrieval.search_page(chunks, questions[:1], 2, 2).orderBy("rank").collect()
     assert [r["rank"] for r in page] == [3, 4]
 
