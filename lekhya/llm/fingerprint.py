@@ -61,17 +61,22 @@ def with_fingerprint(df: DataFrame, text: str, out: str, shingle: int = SHINGLE,
     df = df.withColumn("_s", F.sort_array(F.concat("_h", marks)))
     first = F.filter("_s", lambda h, i: (i == 0) | (bin_of(h) != bin_of(F.get(F.col("_s"), i - 1))))
     df = df.withColumn("_b", F.transform(first, lambda h: F.when(
-        h.bitwiseAND(F.lit(low)) == low, F.lit(-1)).otherwise(
-        h.bitwiseAND(F.lit((1 << BITS) - 1)).cast("int"))))
+        h.bitwiseAND(F.lit(low)) == low, F.lit(-1).cast("long")).otherwise(
+        h.bitwiseAND(F.lit(low)))))
+
+    empty = F.lit(-1).cast("long")
 
     def probe(bins_, order):
-        return F.when(F.array_contains(bins_, F.lit(-1)), F.transform(order, lambda p, i: F.when(
+        return F.when(F.array_contains(bins_, empty), F.transform(order, lambda p, i: F.when(
             F.get(bins_, i) >= 0, F.get(bins_, i)).otherwise(F.get(bins_, p)))).otherwise(bins_)
 
     orders = F.array(*[F.array(*[F.lit(p) for p in o]) for o in probe_orders(bins)])
-    dense = F.when(F.array_contains("_b", F.lit(-1)),
+    dense = F.when(F.array_contains("_b", empty),
                    F.aggregate(orders, F.col("_b"), probe)).otherwise(F.col("_b"))
-    packed = F.array_join(F.transform(dense, lambda v: F.lower(F.hex(v))), "")
+    # hashed again with the bin's number, so that a value copied to many bins does not agree or
+    # differ by chance in all of them at once
+    bits = lambda v, i: F.xxhash64(v, i).bitwiseAND(F.lit((1 << BITS) - 1))
+    packed = F.array_join(F.transform(dense, lambda v, i: F.lower(F.hex(bits(v, i)))), "")
     return (df.withColumn("_d", F.when(F.size("_h") == 0, F.lit("")).otherwise(packed))
             .drop("_w", "_h", "_s", "_b").withColumnRenamed("_d", out))
 
