@@ -14,7 +14,8 @@ Steps (each over all that the one before kept):
 3. The rest links to the leader of each of its prefix tokens, the set in whose order the token
    comes first.  This joins groups of near copies without making their pairs.
 4. Tokens are counted again by group.  What only one group has cannot make a new link.  The
-   rest is indexed with token combinations, and pairs of different groups are verified.
+   rest is indexed with token combinations; sets that these connect meet in blocks of bounded
+   size, where pairs of different groups are verified.
 """
 
 from __future__ import annotations
@@ -37,6 +38,7 @@ CLASSES = 4           # of frequent tokens
 QUARTER = np.uint64(1) << np.uint64(62)
 REMEMBERED = 200_000
 BROADCAST_KEYS = 1_000_000
+BLOCK_SETS, BLOCK_TOKENS = 700, 1_000_000
 
 
 class WordHashes(dict):
@@ -171,14 +173,14 @@ def _single_prefixes(counted: DataFrame, rule: Rule) -> DataFrame:
 
 
 def _signatures(counted: DataFrame, rule: Rule, frequent: int) -> DataFrame:
-    """sig, id, n, group, pos: rare tokens alone and pairs of frequent tokens of a class,
-    from prefixes extended by the number of classes."""
+    """id, n, group, sigs, pos: rare tokens alone and pairs of frequent tokens of a class, from
+    prefixes extended by the number of classes."""
     classes = np.uint64(rule.classes)
 
     def run(batches):
         for pdf in batches:
-            out = []
-            for id_, n, group, shared in zip(pdf["id"], pdf["n"], pdf["group"], pdf["shared"]):
+            all_sigs, all_pos = [], []
+            for n, shared in zip(pdf["n"], pdf["shared"]):
                 own = n - len(shared)
                 prefix = shared[:rule.spare(n) + 1 + rule.classes - own]
                 count = np.array([s["groups"] for s in prefix], np.int64)
@@ -192,13 +194,88 @@ def _signatures(counted: DataFrame, rule: Rule, frequent: int) -> DataFrame:
                         sigs.append(mixed(mixed(token[x:x + 1]) + token[of[k + 1:]]))
                         # up to classes - 1 common tokens may stand before the pair
                         at.append(np.full(len(of) - k - 1, max(0, pos[x] - int(classes) + 1)))
-                sigs = np.concatenate(sigs)
-                out.append(pd.DataFrame({"sig": sigs.view(np.int64), "id": id_, "n": n,
-                                         "group": group, "pos": np.concatenate(at)}))
-            if out:
-                yield pd.concat(out)
+                all_sigs.append(np.concatenate(sigs).view(np.int64))
+                all_pos.append(np.concatenate(at).astype(np.int32))
+            yield pdf[["id", "n", "group"]].assign(sigs=all_sigs, pos=all_pos)
 
-    return counted.mapInPandas(run, "sig long, id long, n int, group long, pos int")
+    return counted.mapInPandas(run, "id long, n int, group long, sigs array<long>, pos array<int>")
+
+
+def block_links(ids, n, group, block, sigs, pos, tokens, rule: Rule) -> list[tuple[int, int]]:
+    """Links that join different groups among the sets of one or two blocks.
+
+    Two sets are compared if a signature and what sizes and places allow say so, unless they
+    are joined already; of two blocks, only across.
+    """
+    m = len(ids)
+    owner = np.repeat(np.arange(m), [len(s) for s in sigs])
+    flat, at = np.concatenate(sigs), np.concatenate(pos)
+    order = np.argsort(flat, kind="stable")
+    flat, owner, at = flat[order], owner[order], at[order]
+    ends = np.flatnonzero(np.r_[flat[1:] != flat[:-1], True]) + 1
+    maybe = np.zeros((m, m), bool)
+    across = block.min() != block.max()
+    for start, end in zip(np.r_[0, ends[:-1]], ends):
+        who = owner[start:end]
+        if end - start < 2 or (group[who] == group[who[0]]).all():
+            continue
+        size, left = n[who], n[who] - at[start:end]
+        need = -(-rule.num * (size[:, None] + size) // (rule.num + rule.den))
+        fits = ((np.minimum(left[:, None], left) >= need)
+                & (np.minimum(size[:, None], size) * rule.den
+                   >= np.maximum(size[:, None], size) * rule.num))
+        if across:
+            fits &= block[who][:, None] != block[who]
+        maybe[np.ix_(who, who)] |= fits
+    names, codes = np.unique(np.concatenate(tokens), return_inverse=True)
+    bounds = np.r_[0, np.cumsum([len(t) for t in tokens])]
+    label, links = np.unique(group, return_inverse=True)[1], []
+    held = np.zeros(len(names), bool)
+    for x in range(m):
+        others = np.flatnonzero(maybe[x] & (label != label[x]))
+        others = others[others > x]
+        if not len(others):
+            continue
+        mine = codes[bounds[x]:bounds[x + 1]]
+        held[mine] = True
+        for y in others:
+            if label[y] != label[x]:
+                both = int(held[codes[bounds[y]:bounds[y + 1]]].sum())
+                if both * rule.den >= (n[x] + n[y] - both) * rule.num:
+                    links.append((int(ids[x]), int(ids[y])))
+                    label[label == label[y]] = label[x]
+        held[mine] = False
+    return links
+
+
+def _links_between_groups(index: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """a, b: enough links to join all groups that any link joins.
+
+    Sets that signatures connect form a cluster.  A cluster is cut into blocks of bounded
+    size, and every two of its blocks meet in a task, so no pair is ever a row.
+    """
+    long = index.select("id", "group", F.explode("sigs").alias("sig"))
+    busy = long.groupBy("sig").agg(F.min("group").alias("lo"), F.max("group").alias("hi"),
+                                   F.min("id").alias("b")).filter("lo <> hi").select("sig", "b")
+    clusters = components(long.select(F.col("id").alias("a"), "sig").join(busy, "sig"))
+    members = stage(index.join(clusters.select(F.col("node").alias("id"), F.col("component")
+                                               .alias("cluster")), "id"))
+    sizes = members.groupBy("cluster").agg(F.greatest(
+        F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_TOKENS)).alias("blocks"))
+    placed = (members.join(sizes, "cluster").join(sets.select("id", "tokens"), "id")
+              .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+              .withColumn("low", F.least("block", "other"))
+              .withColumn("high", F.greatest("block", "other")))
+
+    def verify(pdf):
+        arrays = {c: pdf[c].to_numpy() for c in ("id", "n", "group", "block")}
+        links = block_links(arrays["id"], arrays["n"].astype(np.int64), arrays["group"],
+                            arrays["block"], list(pdf["sigs"]), list(pdf["pos"]),
+                            list(pdf["tokens"]), rule)
+        return pd.DataFrame(links, columns=["a", "b"], dtype=np.int64)
+
+    return placed.groupBy("cluster", "low", "high").applyInPandas(verify, "a long, b long")
 
 
 def _possible(rule: Rule) -> str:
@@ -241,11 +318,13 @@ def similar_groups(docs: DataFrame, words: int = WORDS, similar: tuple[int, int]
              .filter("id = other").groupBy("id").agg(F.count(F.lit(1)).alias("own")))
     open_ = stage(classes.filter(f"n >= {rule.least}").select("id", "n").join(alone, "id", "left")
                   .filter(f"coalesce(own, 0) <= {rule.spare_sql('n')}").select("id", "n"))
-    wanted = open_.select(F.col("id").alias("doc_id"))
-    if open_.count() <= BROADCAST_KEYS:  # a row is one key, so this bounds the bytes as well
-        wanted = F.broadcast(wanted)
-    sets = stage(_tokens(docs.join(wanted, "doc_id", "left_semi"), words)
-                 .join(open_, ["id", "n"], "left_semi").dropDuplicates(["id"]))
+    small = open_.count() <= BROADCAST_KEYS  # rows are two numbers, so this bounds the bytes too
+    wanted = F.broadcast(open_) if small else open_
+    sets = _tokens(docs.join(wanted.select(F.col("id").alias("doc_id")), "doc_id", "left_semi"),
+                   words).join(wanted, ["id", "n"], "left_semi")
+    if not rows.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        sets = sets.dropDuplicates(["id"])  # repeated rows, or several texts of one key
+    sets = stage(sets)
     # 3. leaders
     shared = stage(_shared_by_sets(sets.withColumn("group", F.col("id")), rule))
     first = stage(_single_prefixes(shared, rule))
@@ -262,13 +341,7 @@ def similar_groups(docs: DataFrame, words: int = WORDS, similar: tuple[int, int]
                .join(groups.select(F.col("node").alias("id"), "component"), "id", "left")
                .withColumn("group", F.coalesce("component", "id")).drop("component"))
     index = stage(_signatures(_shared_by_groups(grouped, rule), rule, frequent))
-    busy = index.groupBy("sig").agg(F.min("group").alias("lo"), F.max("group").alias("hi")) \
-        .filter("lo <> hi").select("sig")
-    met = stage(index.join(busy, "sig", "left_semi"))
-    pairs = (met.alias("x").join(met.alias("y"), "sig")
-             .filter(F.expr("x.id > y.id AND x.`group` <> y.`group`") & F.expr(_possible(rule)))
-             .select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
-    more = _verified(pairs, sets, rule)
+    more = _links_between_groups(index, sets, rule)
     groups = stage(components(links.unionByName(more)))
     named = (classes.select("digest", "id")
              .join(groups.select(F.col("node").alias("id"), "component"), "id", "left")
