@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from lekhya.session import stage
 
 WORD = r"[^\x20\x09-\x0D]+"
-EDGE = 4  # hex digits of the hash that make a bucket
+EDGE = 4  # hex digits of the hash that make a bucket; half of them make a block of buckets
 
 
 def word_count(text: Column) -> Column:
@@ -60,6 +60,22 @@ def water_fill(weighted: DataFrame, budget: float, max_epochs: float = 2.0) -> D
     return weighted.withColumn("target", F.least(F.col("_cap"), share)).drop("_cap")
 
 
+def _reached(filled: DataFrame, part: str, quotas: DataFrame) -> DataFrame:
+    """Per source the first ``part`` at which the quota is reached, and what came before it.
+
+    ``filled``: _source, part, _filled, at most 256 parts of a source; ``quotas``: _source,
+    _quota, _before.  Sources that no part fills up are left out.
+    """
+    upto = F.sum("_filled").over(Window.partitionBy("_source").orderBy(part))
+    mine = quotas.select(F.col("_source").alias("_s"), "_quota", "_before")
+    met = (filled.withColumn("_upto", upto)
+           .join(mine, F.col("_source").eqNullSafe(F.col("_s")))
+           .filter(F.col("_before") + F.col("_upto") >= F.col("_quota")))
+    first = F.min(F.struct(part, "_quota", (F.col("_before") + F.col("_upto") - F.col("_filled"))
+                           .alias("_before")))
+    return met.groupBy("_source").agg(first.alias("_f")).select("_source", "_f.*")
+
+
 def mix(docs: DataFrame, weights: DataFrame, budget: float, max_epochs: float = 2.0,
         seed: str = "0", key: str = "doc_id", source: str = "source",
         size: str = "size") -> DataFrame:
@@ -85,15 +101,18 @@ def mix(docs: DataFrame, weights: DataFrame, budget: float, max_epochs: float =
                    .otherwise(0).cast("long"))
                .withColumn("_quota", F.round("target").cast("long")
                            - F.col("whole") * F.col("source_size")))
-    filled = (docs.groupBy(F.col(source).alias("_source"), "_bucket")
-              .agg(F.sum(size).alias("_filled"))
-              .withColumn("_upto", F.sum("_filled").over(
-                  Window.partitionBy("_source").orderBy("_bucket"))))
-    reached = (filled.join(targets.select(F.col("_source").alias("_s"), "_quota"),
-                           F.col("_source").eqNullSafe(F.col("_s")))
-               .filter(F.col("_upto") >= F.col("_quota"))
-               .groupBy("_s").agg(F.min(F.struct(
-                   "_bucket", (F.col("_upto") - F.col("_filled")).alias("before"))).alias("_edge")))
+    filled = stage(docs.groupBy(F.col(source).alias("_source"), "_bucket")
+                   .agg(F.sum(size).alias("_filled"))
+                   .withColumn("_block", F.substring("_bucket", 1, EDGE // 2)))
+    quotas = targets.select("_source", "_quota", F.lit(0).cast("long").alias("_before"))
+    block = _reached(filled.groupBy("_source", "_block").agg(F.sum("_filled").alias("_filled")),
+                     "_block", quotas)
+    within = filled.join(block.select(F.col("_source").alias("_s"), F.col("_block").alias("_b")),
+                         F.col("_source").eqNullSafe(F.col("_s"))
+                         & (F.col("_block") == F.col("_b"))).select("_source", "_bucket", "_filled")
+    reached = _reached(within, "_bucket", block.drop("_block")).select(
+        F.col("_source").alias("_s"), F.struct("_bucket", F.col("_before").alias("before"))
+        .alias("_edge"))
     plan = stage(targets.join(reached, F.col("_source").eqNullSafe(F.col("_s")), "left")
                  .drop("_s"))
     each = docs.join(plan.drop("weight"), F.col(source).eqNullSafe(F.col("_source")), "left")
