@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from lekhya.llm import ngram_join
@@ -99,3 +100,42 @@ def test_components(spark):
            components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: root(x) for x in top if x not in alone}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_groups_over_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", 15)
+    texts = corpus(9)
+    want = brute.groups(texts, 4, 80, 100)
+    got = run(spark, [(k, t, 1, "x") for k, t in texts.items()], words=4, similar=(80, 100))
+    assert got == sorted((k, n, c) for k, (n, c) in want.items())
+
+
+@pytest.mark.parametrize("blocks", [1, 2])
+def test_links_of_blocks_against_all_pairs(blocks):
+    rng, rule, size = random.Random(2), ngram_join.Rule(85, 100), 160
+    base = [rng.randrange(1 << 60) for _ in range(150)]
+    sets = []
+    for _ in range(size):
+        s = set(base)
+        for _ in range(rng.randrange(0, 16)):
+            s.discard(rng.choice(base))
+            s.add(rng.randrange(1 << 60))
+        sets.append(np.array(sorted(s), np.int64))
+    n, ids, block = np.array([len(s) for s in sets]), np.arange(size), np.arange(size) % blocks
+    found = ngram_join.block_links(ids, n, ids, block, sets, [np.zeros(len(s), int) for s in sets],
+                                   sets, rule)
+
+    def joined(pairs):
+        top = list(range(size))
+        for a, b in pairs:
+            x, y = sorted((top[a], top[b]))
+            top = [x if t == y else t for t in top]
+        return top
+
+    def alike(a, b):
+        both = len(set(sets[a]) & set(sets[b]))
+        return both * 100 >= 85 * (n[a] + n[b] - both)
+
+    assert all(alike(a, b) for a, b in found) and len(found) < size
+    assert joined(found) == joined([(a, b) for a in range(size) for b in range(a)
+                                    if (blocks == 1 or block[a] != block[b]) and alike(a, b)])
