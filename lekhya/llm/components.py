@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from lekhya.session import stage
 
+EDGES = 200_000  # of a round that are written by one task
+
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is linked to the node's smallest neighbour."""
@@ -37,6 +39,7 @@ def components(edges: DataFrame) -> DataFrame:
         now = edges.agg(*mark).first()
         if now == before or not now[0]:
             break
-        before, edges = now, stage(_small_star(_large_star(edges)))
+        parts = 1 + now[0] // EDGES  # few edges need few files
+        before, edges = now, stage(_small_star(_large_star(edges)).coalesce(parts))
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
         edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
