@@ -15,11 +15,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lekhya.llm.sampling import bounded_sample
+from lekhya.llm.sampling import SPAN
 from lekhya.session import stage
 
 BINS = 1 << 16
-SAMPLE = 4000      # labelled texts the likelihoods are fitted on
+SAMPLE = 1000      # texts of each labelled language that its likelihoods are fitted on
 EVIDENCE = 60      # a text counts as so many independent trigrams at most
 SMOOTHING = 20.0   # documents' worth of the level above in a host's prior
 KEEP = 0.5         # least posterior of an identified document
@@ -62,11 +62,32 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum()
 
 
+def language_sample(labelled: DataFrame, key: str, text: str, language: str,
+                    sample: int) -> DataFrame:
+    """language, text: some ``sample`` texts of every language, all where there are fewer.
+
+    Languages come from all rows, by one aggregate.  A text belongs if the hash of its key and
+    text is below its language's threshold, which lets the smallest one in at least.  Rows of
+    one key and text are drawn once.
+    """
+    rows = (labelled.filter(F.col(text).rlike(r"\S") & F.col(language).rlike(r"\S"))
+            .select(F.col(language).alias("language"), F.col(text).alias("text"),
+                    F.pmod(F.xxhash64(key, text, F.lit(17)), F.lit(SPAN)).alias("_hash")))
+    sizes = rows.groupBy("language").agg(
+        F.least(F.count(F.lit(1)), F.approx_count_distinct("_hash")).alias("_n"),
+        F.min("_hash").alias("_least"))
+    edges = sizes.select("language", F.greatest("_least", F.when(
+        F.col("_n") <= sample, F.lit(SPAN)).otherwise(
+            (F.lit(SPAN) * (F.lit(float(sample)) / F.col("_n"))).cast("long"))).alias("_edge"))
+    return (rows.join(F.broadcast(edges), "language").filter("_hash <= _edge")
+            .dropDuplicates(["language", "_hash"]).select("language", "text"))
+
+
 def fit(labelled: DataFrame, key: str, text: str = "text", language: str = "lang",
         sample: int = SAMPLE) -> Likelihoods:
-    """Trigram likelihoods from some ``sample`` labelled rows (at most twice as many)."""
-    rows = bounded_sample(labelled.filter(F.col(language).isNotNull() & F.col(text).isNotNull()),
-                          key, sample)
+    """Trigram likelihoods of every language that a row with words is labelled with, each from
+    some ``sample`` of its texts.  A blank label is none."""
+    rows = language_sample(labelled, key, text, language, sample)
 
     def count(batches):
         for pdf in batches:
@@ -74,16 +95,16 @@ def fit(labelled: DataFrame, key: str, text: str = "text", language: str = "lang
                 counts = np.zeros(BINS, np.int64)
                 for t in texts:
                     counts += np.bincount(trigrams(t), minlength=BINS)
-                yield pd.DataFrame({"language": [lang], "n": [len(texts)],
-                                    "counts": [counts.tobytes()]})
-
-    parts = rows.select(F.col(language).alias("language"), F.col(text).alias("text")) \
-        .coalesce(8).mapInPandas(count, "language string, n long, counts binary").collect()
-    sums: dict[str, np.ndarray] = {}
-    for r in parts:
-        sums[r["language"]] = sums.get(r["language"], 0) + np.frombuffer(r["counts"], np.int64)
-    languages = tuple(sorted(sums)) or ("und",)
-    table = np.stack([sums.get(k, np.zeros(BINS, np.int64)) for k in languages], 1) + 0.05
+                seen = np.flatnonzero(counts)
+                yield pd.DataFrame({"language": lang, "bin": seen.astype(np.int32),
+                                    "n": counts[seen]})
+
+    parts = (rows.mapInPandas(count, "language string, bin int, n long")
+             .groupBy("language", "bin").agg(F.sum("n").alias("n")).toPandas())
+    languages = tuple(sorted(parts["language"].unique())) or ("und",)
+    table = np.full((BINS, len(languages)), 0.05)
+    at = np.searchsorted(languages, parts["language"].to_numpy(str))
+    table[parts["bin"].to_numpy(int), at] += parts["n"].to_numpy(float)
     return Likelihoods(languages, np.log(table / table.sum(0)).astype(np.float32))
 
 

@@ -38,6 +38,24 @@ def test_evidence_is_fused(spark):
     assert langid.identify(df.limit(0), model, F.col("text")).count() == 0
 
 
+def test_rare_languages_are_fitted(spark):
+    words = {"aa": "kala mata pono", "bb": "the which there", "cc": "zwyx qvrr hjkk"}
+    rows = [(i, f"{words[k]} {i} {words[k]}", k) for i in range(6000) for k in [["aa", "bb"][i % 2]]]
+    rows += [(7000 + i, f"{words['cc']} {words['cc']} {i}", "cc") for i in range(3)]
+    rows += [(None, f"unkeyed {i % 2} furlongs", "dd") for i in range(900)]  # one key, two texts
+    rows += [(8000, "no label", " "), (8001, " ", "ee"), (8002, None, "ff")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df, "doc_id", sample=40)
+    assert model.languages == ("aa", "bb", "cc", "dd")
+    drawn = {r["language"]: r["count"] for r in langid.language_sample(
+        df, "doc_id", "text", "lang", 40).groupBy("language").count().collect()}
+    assert drawn["cc"] == 3 and drawn["dd"] == 2
+    assert 15 < drawn["aa"] < 80 and 15 < drawn["bb"] < 80
+    few = df.filter("lang = 'cc'").unionByName(df.filter("lang = 'bb' AND doc_id < 600"))
+    found = langid.identify(few, model, F.col("text"), F.col("lang")).collect()
+    assert all(r.language == r.lang and r.identified for r in found)
+
+
 def test_held_out_quality(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     labels = spark.read.parquet(f"{SF}/labels.parquet")
