@@ -17,8 +17,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from lekhya.llm.sampling import bounded_sample
+from lekhya.session import stage
 
-SAMPLE = 20_000    # documents the models are fitted on, labelled or not (at most twice as many)
+SAMPLE = 20_000    # unlabelled documents the models see (at most twice as many)
+LABELLED = 4       # a class gives SAMPLE / LABELLED labelled documents, all if it has fewer
 ROUNDS = 4
 SURE = 0.95        # a pseudo-label's least probability
 HANDED = 0.1       # at most this share of the unlabelled rows is handed over a round
@@ -64,15 +66,17 @@ def meta_view(source: str | None, lang: str | None, n_chars) -> np.ndarray:
     return out
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 25) -> np.ndarray:
-    """Weights (the last is the intercept) by Newton's method."""
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 25,
+             count: np.ndarray | None = None) -> np.ndarray:
+    """Weights (the last is the intercept) by Newton's method; a row counts ``count`` times."""
     x = np.hstack([x, np.ones((len(x), 1))]).astype(np.float64)
+    count = np.ones(len(x)) if count is None else count
     w, penalty = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
     penalty[-1] = 1e-6
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (p - y) + penalty * w
-        curve = (x * (p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(penalty)
+        grad = x.T @ (count * (p - y)) + penalty * w
+        curve = (x * (count * (p * (1 - p) + 1e-9))[:, None]).T @ x + np.diag(penalty)
         move = np.linalg.solve(curve, grad)
         w -= move
         if np.abs(move).max() < 1e-8:
@@ -94,6 +98,7 @@ class Model:
     meta: np.ndarray
     calibration: tuple[np.ndarray, np.ndarray]  # scale and shift of each view's log-odds
     combined: np.ndarray                        # of the two calibrated log-odds
+    labelled: tuple[int, int] = (0, 0)          # documents labelled 0 and 1 it was fitted on
 
     def scores(self, content: np.ndarray, meta: np.ndarray) -> np.ndarray:
         """Columns: content, metadata and combined probability of good quality."""
@@ -104,20 +109,32 @@ class Model:
 
 
 def co_train(content: np.ndarray, meta: np.ndarray, label: np.ndarray,
-             rounds: int = ROUNDS) -> Model:
-    """``label``: 1, 0, or -1 for unlabelled rows.  Every fourth labelled row calibrates."""
-    labelled, free = np.flatnonzero(label >= 0), np.flatnonzero(label < 0)
-    held = labelled[::4] if len(labelled) >= 40 else labelled
-    train = np.setdiff1d(labelled, held) if len(labelled) >= 40 else labelled
+             rounds: int = ROUNDS, share: float | None = None) -> Model:
+    """``label``: 1, 0, or -1 for unlabelled rows.  Every fourth labelled row calibrates, of
+    each class where a class would miss out.  ``share``: of good ones among all labels, if not
+    that among these rows; rows of the classes then count as much as makes that share."""
+    free = np.flatnonzero(label < 0)
+    classes = [np.flatnonzero(label == k) for k in (0, 1)]
+    labelled = np.sort(np.concatenate(classes))
+    held = train = labelled
+    if len(labelled) >= 40 and min(map(len, classes)) != 1:
+        held = labelled[::4]
+        if any(len(np.intersect1d(c, held)) in (0, len(c)) for c in classes):
+            held = np.sort(np.concatenate([c[::4] for c in classes]))
+        train = np.setdiff1d(labelled, held)
+    found = label[labelled].mean() if len(labelled) else 0.5
+    share = found if share is None else share
+    count = np.ones(len(label))
+    if 0 < found < 1:
+        count[classes[0]], count[classes[1]] = (1 - share) / (1 - found), share / found
     views, given = (content, meta), [{}, {}]  # pseudo-labels each view was given
     weights = [None, None]
-    share = label[train].mean() if len(train) else 0.5
     for r in range(rounds + 1):
         for v, x in enumerate(views):
             extra = sorted(given[v])
             rows = np.concatenate([train, np.array(extra, dtype=np.int64)])
             y = np.concatenate([label[train], [given[v][i] for i in extra]])
-            weights[v] = logistic(x[rows], y)
+            weights[v] = logistic(x[rows], y, count=count[rows])
         if r == rounds:
             break
         for v, x in enumerate(views):
@@ -127,34 +144,56 @@ def co_train(content: np.ndarray, meta: np.ndarray, label: np.ndarray,
                 order = np.argsort(-sure, kind="stable")[:most]
                 for i in order[sure[order] >= SURE]:
                     other.setdefault(int(free[i]), value)
-    y = label[held].astype(np.float64)
-    calibration = tuple(logistic(odds(w, x[held])[:, None], y, ridge=0.01)
+    y, n = label[held].astype(np.float64), count[held]
+    calibration = tuple(logistic(odds(w, x[held])[:, None], y, ridge=0.01, count=n)
                         for w, x in zip(weights, views))
     z = np.stack([odds(c, odds(w, x[held])[:, None])
                   for w, x, c in zip(weights, views, calibration)], 1)
-    return Model(weights[0], weights[1], calibration, logistic(z, y, ridge=0.01))
+    return Model(weights[0], weights[1], calibration, logistic(z, y, ridge=0.01, count=n),
+                 (len(classes[0]), len(classes[1])))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str = "doc_id") -> Model:
-    """Co-train on a sample of ``docs`` (key, text, source, lang, n_chars) and the quality
-    labels (doc_id, quality) that fall on it.
+def drawn(docs: DataFrame, labels: DataFrame, key: str,
+          sample: int) -> tuple[DataFrame, dict[int, int]]:
+    """id, label (-1: none) of the documents to fit on, and all documents' number by label.
 
-    Sample and labels are bounded, so the labels are broadcast and features are fitted on
-    the driver.  Null labels and labels other than 0 and 1 are none; several labels of a
-    document: the smallest.  Without labels of both kinds every document scores the same.
+    Every class is drawn on its own by the hash of the key, so the labelled part depends on the
+    number of labels and not on that of the documents.
     """
-    rows = bounded_sample(docs.select(key, "text", "source", "lang", "n_chars"), key, sample)
-    keys = rows.select(F.col(key).alias("doc_id"))
     marks = (labels.select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("q"))
-             .filter("q IN (0, 1)").join(keys, F.col("_id") == F.col("doc_id"), "left_semi")
-             .groupBy("_id").agg(F.min("q").alias("q")))
-    made = (rows.join(F.broadcast(marks), F.col(key) == F.col("_id"), "left")
-            .select(F.col(key).alias("id"), F.coalesce("q", F.lit(-1)).alias("label"),
-                    _views()("text", "source", "lang", "n_chars").alias("v"))
+             .filter("q IN (0, 1)").groupBy("_id").agg(F.min("q").alias("q")))
+    keys = stage(docs.select(F.col(key).alias("id")).distinct()
+                 .join(marks, F.col("id") == F.col("_id"), "left")
+                 .select("id", F.coalesce("q", F.lit(-1)).alias("label")))
+    sizes = {r["label"]: r["count"] for r in keys.groupBy("label").count().collect()}
+    parts = [bounded_sample(keys.filter(F.col("label") == k), "id",
+                            sample if k < 0 else max(1, sample // LABELLED)) for k in (-1, 0, 1)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]), sizes
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str = "doc_id") -> Model:
+    """Co-train on labelled and unlabelled documents of ``docs`` (key, text, source, lang,
+    n_chars), drawn separately; ``labels``: doc_id, quality.
+
+    What is drawn is bounded, so its keys are broadcast and features are fitted on the driver.
+    Null labels and labels other than 0 and 1 are none; several labels of a document: the
+    smallest; several rows of a document: the one whose hash is smallest.  Without labels of
+    both kinds (see ``Model.labelled``) a model tells nothing: without any, every document
+    scores the same.
+    """
+    keys, sizes = drawn(docs, labels, key, sample)
+    of = F.struct("text", "source", "lang", "n_chars")
+    rows = (docs.select(F.col(key).alias("_key"), of.alias("d"))
+            .join(F.broadcast(keys), F.col("_key").eqNullSafe(F.col("id")))
+            .groupBy("id", "label").agg(F.min_by("d", F.xxhash64("d")).alias("d")))
+    made = (rows.select("id", "label", _views()("d.text", "d.source", "d.lang", "d.n_chars")
+                        .alias("v"))
             .select("id", "label", "v.*").orderBy(F.xxhash64("id"), "id").toPandas())
     content = np.array(made["content"].tolist(), np.float32).reshape(-1, CONTENT)
     meta = np.array(made["meta"].tolist(), np.float32).reshape(-1, META)
-    return co_train(content, meta, made["label"].to_numpy())
+    bad, good = sizes.get(0, 0), sizes.get(1, 0)
+    return co_train(content, meta, made["label"].to_numpy(),
+                    share=good / (bad + good) if bad + good else None)
 
 
 def _views():

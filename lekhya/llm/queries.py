@@ -149,7 +149,13 @@ def pages_language(spark, sf_dir):
 
 
 def judged(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality.classify(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    """Documents with their scores; an error where a class has no labelled document to learn
+    from, as no score would mean anything then."""
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    if not all(model.labelled) and not docs.isEmpty():
+        raise ValueError("quality: documents labelled 0 and 1: %d and %d, but both kinds are "
+                         "needed" % model.labelled)
+    return quality.classify(docs, model)
 
 
 @query("op7_co_trained_quality")

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lekhya.llm import langid, quality
@@ -67,6 +68,43 @@ def test_held_out_quality(spark):
     assert kept >= 0.98 and gone >= 0.9
 
 
+def test_labels_are_kept_in_a_large_table(spark):
+    docs = spark.range(20_000).selectExpr(
+        "id AS doc_id", "CASE WHEN id % 10 = 0 THEN concat('%$# @@ ', id, ' ##') ELSE "
+        "concat('plain words of a text ', id) END AS text", "'s' AS source", "'en' AS lang",
+        "30L AS n_chars")
+    labels = spark.range(0, 20_000, 100).selectExpr("id + (id div 100) % 2 AS doc_id") \
+        .selectExpr("doc_id", "int(doc_id % 10 <> 0) AS quality")
+    model = quality.fit(docs, labels, sample=400)  # labels fall on 1 of 100 documents
+    assert model.labelled == (100, 100)
+    right = quality.classify(docs, model).agg(F.avg(F.expr("int(good = (doc_id % 10 <> 0))")))
+    assert right.first()[0] == 1
+    most, sizes = quality.drawn(docs, docs.selectExpr("doc_id", "int(doc_id % 10 <> 0) AS quality"),
+                                "doc_id", 400)
+    assert sizes == {0: 2000, 1: 18_000}
+    assert all(50 < r["count"] <= 200 for r in most.groupBy("label").count().collect())
+
+
+def test_a_class_without_labels_is_an_error(spark, tmp_path):
+    from lekhya.llm.queries import judged
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    spark.createDataFrame([(r.doc_id, 1) for r in docs.limit(50).collect()],
+                          "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    with pytest.raises(ValueError, match="0 and 50"):
+        judged(spark, docs, str(tmp_path))
+    assert judged(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_classes_count_by_their_share():
+    rng = np.random.default_rng(5)
+    y = np.arange(4000) % 2
+    content = (y + rng.normal(0, 1, 4000))[:, None]
+    model = quality.co_train(content, content, y, share=0.9)
+    p = model.scores(content, content)[:, 2]
+    assert abs(0.1 * p[y == 0].mean() + 0.9 * p[y == 1].mean() - 0.9) < 0.02
+
+
 def test_views_teach_each_other():
     rng = np.random.default_rng(3)
     y = rng.integers(0, 2, 3000)
