@@ -354,7 +354,21 @@ def similar_groups(docs: DataFrame, words: int = WORDS, similar: tuple[int, int]
 
 def keep_first(docs: DataFrame, words: int = 5, similar: tuple[int, int] = (80, 100),
                key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each group of near copies: that with the smallest key."""
-    kept = similar_groups(docs, words, similar, key=key, text=text).filter(
-        "doc_id = component_id OR component_id IS NULL").select(F.col("doc_id").alias("_kept"))
-    return docs.join(kept, F.col(key).eqNullSafe(F.col("_kept")), "left_semi")
+    """One row of each group of near copies: that with the smallest key, null last.
+
+    Every row is a document of its own here, so repeated rows, rows without a key and several
+    texts of one key are grouped by what they say.  Texts without words have no near copies;
+    of those, one a key stays.
+    """
+    rows = stage(docs.withColumns({"_row": F.monotonically_increasing_id(),
+                                   "_hash": F.xxhash64(text)}))
+    groups = similar_groups(rows, words, similar, key="_row", text=text)
+    blank = F.col("n_shingles") == 0
+    kept = (rows.select("_row", F.col(key).alias("_key"), "_hash")
+            .join(groups, F.col("_row") == F.col("doc_id"))
+            .groupBy(F.when(~blank, F.col("component_id")).alias("_group"),
+                     F.when(blank, F.col("_key")).alias("_own"), blank.alias("_blank"))
+            .agg(F.min(F.struct(F.col("_key").isNull().alias("none"), F.col("_key"), "_hash",
+                                "_row")).alias("first"))
+            .select(F.col("first._row").alias("_row")))
+    return rows.join(kept, "_row", "left_semi").select(*docs.columns)

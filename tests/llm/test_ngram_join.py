@@ -81,6 +81,25 @@ def test_keep_first(spark):
     assert sorted(r.doc_id for r in ngram_join.keep_first(df).collect()) == [1, 3]
 
 
+def test_keep_first_of_repeated_rows_null_keys_and_texts(spark):
+    near = " ".join(f"n{i}" for i in range(80))
+    far = " ".join(f"f{i}" for i in range(80))
+    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f")]     # repeated rows
+    rows += [(None, "a b c d e f"), (None, "only here"), (None, "only here"), (None, "and this")]
+    rows += [(None, near + " x"), (None, near)]                            # near, without keys
+    rows += [(5, near + " y"), (5, far), (6, far + " z"), (7, "seven")]    # two texts of one key
+    rows += [(8, ""), (8, None), (8, " "), (9, ""), (None, None), (None, "")]
+    df = spark.createDataFrame([(k, t, i) for i, (k, t) in enumerate(rows)],
+                               "doc_id long, text string, n int")
+    for parts in (1, 5):
+        got = ngram_join.keep_first(df.repartition(parts, "n"))
+        assert got.columns == df.columns
+        got = [(r.doc_id, (r.text or "").strip()) for r in got.collect()]
+        assert sorted(got, key=str) == sorted(
+            [(1, "a b c d e f"), (None, "only here"), (None, "and this"), (5, near + " y"),
+             (5, far), (7, "seven"), (8, ""), (9, ""), (None, "")], key=str)
+
+
 def test_components(spark):
     rng = random.Random(5)
     chain = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)]
