@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from lekhya.llm import (ann, chat, fingerprint, langid, mixing, ngram_join, packing, quality,
-                        sharding, warc)
+from lekhya.llm import (ann, chat, fingerprint, langid, merkle, mixing, ngram_join, packing,
+                        quality, rules, sharding, trie, warc)
+from lekhya.llm.oracles import MERKLE_SQL, RULES_SQL, TRIE_SQL
 from lekhya.session import stage
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -226,6 +228,54 @@ def op10(spark, sf_dir):
     return ngram_join.similar_groups(table(spark, sf_dir, "documents"))
 
 
+@query("op11_merkle_manifest", MERKLE_SQL)
+def op11(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    folded = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    chosen = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    leaf = merkle.leaf_digest([F.col(c) for c in fields])
+    tampered = merkle.leaf_digest([F.col(c) for c in fields[:-1]] + [folded])
+    leaves = docs.select("doc_id", "lang", leaf.alias("leaf"),
+                         F.when(chosen, tampered).alias("tampered"))
+    made = merkle.manifest(leaves, "lang", ["doc_id"], "leaf")
+    proved = merkle.prove(made, made.leaves).withColumns({
+        "root": F.lit(made.root).cast("string"), "proof_sha256": merkle.proof_digest(F.col("proof")),
+        "folded_root": merkle.folded(F.coalesce("tampered", "leaf"), F.col("proof"))})
+    return proved.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root",
+                         (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def rebuilt(seq: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sequences and conversations in which c begins with the first crc32(c) % 6 turns of
+    c - c % 100, and goes on with its own after as many."""
+    convs = seq.select("conv").distinct().select(
+        "conv", (F.crc32(F.col("conv").cast("string")) % 6).alias("h"),
+        (F.col("conv") - F.col("conv") % 100).alias("base"))
+    donors = seq.filter("conv % 100 = 0 AND at <= 5").select(
+        F.col("conv").alias("base"), F.col("at"), "name", "size")
+    given = convs.join(donors, "base").filter("at <= h").select("conv", "at", "name", "size")
+    many = donors.groupBy("base").agg(F.count(F.lit(1)).alias("n"))
+    shift = convs.join(many, "base", "left").select(
+        "conv", "h", F.least("h", F.coalesce("n", F.lit(0))).alias("given"))
+    own = seq.join(shift, "conv").filter("at > h").select(
+        "conv", (F.col("at") - F.col("h") + F.col("given")).alias("at"), "name", "size")
+    return stage(given.unionByName(own)), convs.select("conv")
+
+
+@query("op12_conversation_trie", TRIE_SQL)
+def op12(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations")
+    return trie.trie(*rebuilt(trie.sequences(turns, "conv_id", ["turn"], "role", "text")))
+
+
+@query("op13_quality_rules", RULES_SQL)
+def op13(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    trusted = table(spark, sf_dir, "labels").filter("quality = 1 AND toxic = 0").select("doc_id")
+    return rules.judge(docs, rules.ratios(docs, trusted)).select("doc_id", *rules.BASE, "kept")
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
