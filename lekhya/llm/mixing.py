@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from lekhya.llm.names import fresh
 from lekhya.session import stage
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -129,24 +130,15 @@ def mix(docs: DataFrame, weights: DataFrame, budget: float, max_epochs: float =
             .drop("_key", "_bucket", "_source", "_quota", "_edge"))
 
 
-def first_words(text: Column, n: Column) -> Column:
-    """The text up to the end of its n-th word."""
-    words = F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
-    return F.array_join(F.slice(words, F.lit(1), n.cast("int")), "")
-
-
-def repeated(mixed: DataFrame, columns: list[str], text: str = "text",
-             size: str = "size") -> DataFrame:
-    """The mix itself: one row per repetition.  The one document of a source at which its
-    target is reached is cut after the words still missing; all others stay whole."""
-    whole, extra = F.col("whole"), F.col("extra")
-    times = (whole + (extra > 0).cast("long")).cast("int")
-    rows = (mixed.withColumn("_n", times).filter("_n > 0")
-            .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))))
-    cut = (F.col("_copy") > whole) & (extra < F.col(size))
-    out = rows.withColumn("_text", F.when(cut, first_words(F.col(text), extra))
-                          .otherwise(F.col(text)))
-    if "n_chars" in columns and "n_chars" != text:
-        out = out.withColumn("n_chars", F.when(cut, F.length("_text").cast("long"))
-                             .otherwise(F.col("n_chars")))
-    return out.withColumn(text, F.col("_text")).select(*columns)
+def repeated(mixed: DataFrame, columns: list[str], size: str = "size") -> DataFrame:
+    """The mix itself: one row per repetition, every document whole.
+
+    The one document of a source at which its target is reached is repeated once more if at
+    least half of it is still missing, so a source's words differ from its target by half a
+    document at most.
+    """
+    once_more = (F.col("extra") > 0) & (2 * F.col("extra") >= F.col(size))
+    times = (F.col("whole") + once_more.cast("long")).cast("int")
+    (n,) = fresh(mixed, "_times")
+    rows = mixed.withColumn(n, times).filter(F.col(n) > 0)
+    return rows.select(*columns, F.explode(F.sequence(F.lit(1), F.col(n))).alias(n)).drop(n)

@@ -301,13 +301,19 @@ def similar_groups(docs: DataFrame, words: int = WORDS, similar: tuple[int, int]
 
     component_id: the smallest key reachable by links, its own included.  Links are exact; no
     frequent token, large group or long text is left out.  A null or blank text has an empty
-    set and no links.  Rows of one key count as one document; a null key is linked like any
-    other row by an equal set, but stands for no document (its component may be null).
+    set and no links.  Rows of one key count as one document, linked by any of its texts; a
+    row without a key is linked like any other, but stands for no document, so its component
+    may be null.
     """
     rule = Rule(*similar)
     docs = docs.select(F.col(key).cast("long").alias("doc_id"),
                        F.col(text).cast("binary").alias("text"))
     rows = stage(_sets(docs, words))
+    said = F.xxhash64("digest")
+    odd = rows.groupBy("doc_id").agg(F.min(said).alias("lo"), F.max(said).alias("hi"),
+                                     F.count(F.lit(1)).alias("n"))
+    if not odd.filter("lo <> hi OR doc_id IS NULL").isEmpty():
+        return _groups_of_rows(docs, words, similar, frequent)
     classes = stage(rows.filter("n > 0").groupBy("digest")
                     .agg(F.min("doc_id").alias("id"), F.first("n").alias("n"))
                     .filter("id IS NOT NULL"))
@@ -322,8 +328,8 @@ def similar_groups(docs: DataFrame, words: int = WORDS, similar: tuple[int, int]
     wanted = F.broadcast(open_) if small else open_
     sets = _tokens(docs.join(wanted.select(F.col("id").alias("doc_id")), "doc_id", "left_semi"),
                    words).join(wanted, ["id", "n"], "left_semi")
-    if not rows.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        sets = sets.dropDuplicates(["id"])  # repeated rows, or several texts of one key
+    if not odd.filter("n > 1").isEmpty():
+        sets = sets.dropDuplicates(["id"])  # repeated rows
     sets = stage(sets)
     # 3. leaders
     shared = stage(_shared_by_sets(sets.withColumn("group", F.col("id")), rule))
@@ -352,6 +358,23 @@ def similar_groups(docs: DataFrame, words: int = WORDS, similar: tuple[int, int]
                       F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def _groups_of_rows(docs: DataFrame, words: int, similar: tuple[int, int],
+                    frequent: int) -> DataFrame:
+    """``similar_groups`` where keys are null or have several texts: every row is linked under
+    an id of its own, then rows of one key are joined."""
+    rows = stage(docs.select("*", F.monotonically_increasing_id().alias("row")))
+    found = similar_groups(rows, words, similar, frequent, key="row")
+    both = stage(rows.select("row", F.col("doc_id").alias("key")).join(
+        found.select(F.col("doc_id").alias("row"), "n_shingles", "component_id"), "row"))
+    heads = both.groupBy("component_id").agg(F.min("key").alias("head"))
+    both = both.join(heads, "component_id")
+    joined = components(both.filter("key <> head").select(F.col("key").alias("a"),
+                                                          F.col("head").alias("b")))
+    return (both.join(joined, F.coalesce("key", "head") == F.col("node"), "left")
+            .select(F.col("key").alias("doc_id"), "n_shingles",
+                    F.coalesce("component", "key", "head").alias("component_id")))
+
+
 def keep_first(docs: DataFrame, words: int = 5, similar: tuple[int, int] = (80, 100),
                key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each group of near copies: that with the smallest key, null last.

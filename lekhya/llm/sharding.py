@@ -145,7 +145,9 @@ def shard(df: DataFrame, group: Column, size: Column, shards: int | None = None,
     total, count = rows.agg(F.sum("row_size"), F.count(F.lit(1))).first()
     total, stride = total or 0, max(1000, count // PARTS)
     bound = max(1, (total // shards if shards else capacity) // LARGE)
-    bundle = F.pmod(F.xxhash64("_group"), F.lit(BUNDLES)).cast("string")
+    # of a fixed capacity, so many that a bundle stays an item of about 1/LARGE of it
+    bundles = BUNDLES if shards else max(BUNDLES, -(-total * LARGE // capacity))
+    bundle = F.pmod(F.xxhash64("_group"), F.lit(bundles)).cast("string")
     item = F.when(F.col("_bytes") > bound, F.concat(F.lit("g"), "_group")).otherwise(bundle)
     groups = stage(groups.withColumn("_item", item))
     if shards:  # bounded: shards x LARGE groups and BUNDLES bundles

@@ -61,8 +61,9 @@ def sequences(turns: DataFrame, conv: str, order: list[str], role: str, text: st
         "conv", *[f"o{i}" for i in range(len(order))], "role",
         F.sha2(F.col("text"), 256).alias("text_hash"), F.substring("text", 1, 256).alias("start"),
         turn_name(F.col("role"), F.col("text")).alias("name"),
-        F.length("text").cast("long").alias("size"), F.lit(1).cast("long").alias("one")))
-    by = [*[f"o{i}" for i in range(len(order))], "role", "start", "text_hash"]
+        F.length("text").cast("long").alias("size"), F.lit(1).cast("long").alias("one"),
+        F.monotonically_increasing_id().alias("row_id")))
+    by = [*[f"o{i}" for i in range(len(order))], "role", "start", "text_hash", "row_id"]
     return stage(scale.running(slim, ["conv"], by, "one", "at").select("conv", "at", "name", "size"))
 
 

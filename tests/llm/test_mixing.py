@@ -50,9 +50,10 @@ def test_repetitions(spark):
                                     "_source string, source_size long, weight double")
     mixed = mixing.mix(df, weights, 11.0)
     rows = mixing.repeated(mixed, ["doc_id", "text", "lang", "source", "n_chars"]).collect()
-    assert sum(len((r.text or "").split()) for r in rows) == 11
-    assert {r.doc_id for r in rows} <= {1, 2}
-    assert [r.n_chars for r in rows if r.text == " one\ttwo  three"] == [15]
+    # 11 of 4 + 4 + 0 words: two repetitions are due in part, and half a document decides
+    assert sum(len((r.text or "").split()) for r in rows) == 12
+    assert {(r.doc_id, r.text, r.n_chars) for r in rows} == {
+        (1, " one\ttwo  three four", 20), (2, None, None)}
     empty = mixing.mix(df.limit(0), weights.limit(0), 0.0)
     assert empty.count() == 0
 
@@ -62,3 +63,14 @@ def test_all_sources_clamped(spark):
                                     "_source string, source_size long, weight double")
     got = {r["_source"]: r.target for r in mixing.water_fill(weights, 1000.0).collect()}
     assert got == {"a": 10.0, "b": 14.0}
+
+
+def test_documents_stay_whole(spark):
+    text = " ".join(["w"] * 100)
+    df = spark.createDataFrame([(1, text, "s")], "doc_id long, text string, source string") \
+        .withColumn("size", mixing.word_count(F.col("text")))
+    weights = spark.createDataFrame([("s", 100, 1.0)],
+                                    "_source string, source_size long, weight double")
+    for budget, times in ((40.0, 0), (60.0, 1), (140.0, 1), (160.0, 2)):
+        got = mixing.repeated(mixing.mix(df, weights, budget), ["doc_id", "text"]).collect()
+        assert [r.text for r in got] == [text] * times

@@ -158,3 +158,17 @@ def test_links_of_blocks_against_all_pairs(blocks):
     assert all(alike(a, b) for a, b in found) and len(found) < size
     assert joined(found) == joined([(a, b) for a in range(size) for b in range(a)
                                     if (blocks == 1 or block[a] != block[b]) and alike(a, b)])
+
+
+def test_several_texts_of_a_key_and_rows_without_one(spark):
+    def words(name, n=60):
+        return " ".join(f"{name}{i}" for i in range(n))
+
+    a, b = words("a"), words("b")
+    rows = [(1, a), (1, b), (2, a + " tail"), (3, b + " tail"), (5, words("c")),
+            (None, words("c") + " tail"), (None, words("d")), (None, words("d") + " tail"), (6, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in
+                  ngram_join.similar_groups(df).collect()), key=str)
+    assert got == sorted([(1, 57, 1), (1, 57, 1), (2, 58, 1), (3, 58, 1), (5, 57, 5), (None, 58, 5),
+                          (None, 57, None), (None, 58, None), (6, 0, 6)], key=str)

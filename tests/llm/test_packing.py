@@ -126,3 +126,11 @@ def test_given_documents_are_near_equal(spark):
     want = {r.doc_id: (len((r.text or "").encode()) + 1, zlib.crc32((r.text or "").encode()))
             for r in texts}
     assert {r.doc_id: (r.size, r.text_crc32) for r in got.collect()} == want
+
+
+def test_capacity_holds_for_many_small_groups(spark):
+    rows = spark.range(300_000).withColumn("size", F.lit(2))
+    got = sharding.shard(rows, F.col("id"), F.col("size"), capacity=128, row_key="id")
+    sizes = got.groupBy("shard").agg(F.sum("row_size").alias("n")).agg(
+        F.max("n"), F.count(F.lit(1))).first()
+    assert sizes[0] <= 128 and sizes[1] < 1.05 * 600_000 / 128

@@ -47,7 +47,9 @@ def test_stages(spark):
     for r in mix:
         taken[r["source"]] += words(r["text"])
     for name, target in zip(names, want):
-        assert abs(taken[name] - target) <= 1
+        # documents stay whole, so half a document may be missing or too much
+        longest = max(words(r["text"]) for r in single if r["source"] == name)
+        assert abs(taken[name] - target) <= 1 + longest / 2
     rows = docs.collect()
     whole = Counter(r.doc_id for r in rows if r.piece == 0)
     assert whole == Counter(r["doc_id"] for r in mix)
