@@ -29,6 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lekhya.llm.components import components
+from lekhya.llm.workers import trimmed
 from lekhya.session import stage
 
 WORDS = 4
@@ -36,7 +37,7 @@ SIMILAR = (85, 100)   # numerator, denominator
 FREQUENT = 32         # tokens in more sets (or groups) than this are frequent
 CLASSES = 4           # of frequent tokens
 QUARTER = np.uint64(1) << np.uint64(62)
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 BROADCAST_KEYS = 1_000_000
 BLOCK_SETS, BLOCK_TOKENS = 700, 1_000_000
 
@@ -123,7 +124,7 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
             made = pd.DataFrame(rows, columns=["doc_id", "n", "digest", "sample"])
             yield made.astype({"doc_id": "Int64"})
 
-    return docs.mapInPandas(run, "doc_id long, n int, digest binary, sample array<long>")
+    return docs.mapInPandas(trimmed(run), "doc_id long, n int, digest binary, sample array<long>")
 
 
 def _tokens(docs: DataFrame, words: int) -> DataFrame:
@@ -133,7 +134,7 @@ def _tokens(docs: DataFrame, words: int) -> DataFrame:
             sets = [shingles(t, words, hashes).view(np.int64) for t in pdf["text"]]
             yield pd.DataFrame({"id": pdf["doc_id"], "n": [len(s) for s in sets], "tokens": sets})
 
-    return docs.mapInPandas(run, "id long, n int, tokens array<long>")
+    return docs.mapInPandas(trimmed(run), "id long, n int, tokens array<long>")
 
 
 def _with_shared(sets: DataFrame, rows: DataFrame, counts: DataFrame, rule: Rule) -> DataFrame:
@@ -198,7 +199,7 @@ def _signatures(counted: DataFrame, rule: Rule, frequent: int) -> DataFrame:
                 all_pos.append(np.concatenate(at).astype(np.int32))
             yield pdf[["id", "n", "group"]].assign(sigs=all_sigs, pos=all_pos)
 
-    return counted.mapInPandas(run, "id long, n int, group long, sigs array<long>, pos array<int>")
+    return counted.mapInPandas(trimmed(run), "id long, n int, group long, sigs array<long>, pos array<int>")
 
 
 def block_links(ids, n, group, block, sigs, pos, tokens, rule: Rule) -> list[tuple[int, int]]:

@@ -22,6 +22,7 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from lekhya.llm.workers import trimmed
 from lekhya.session import stage
 
 CAPACITY = 4096
@@ -186,12 +187,12 @@ def pack(docs: DataFrame, tokenizer: str, end: int = 1, capacity: int = CAPACITY
 
     texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     tasks = texts.rdd.getNumPartitions()
-    made = stage(texts.mapInPandas(first, PIECES))
+    made = stage(texts.mapInPandas(trimmed(first), PIECES))
     out, level = made.filter("sequence_id IS NOT NULL"), 0
     while True:
         level, tasks = level + 1, ceil(tasks / FAN_IN)
         left = made.filter("sequence_id IS NULL").repartition(tasks)
-        made = stage(left.mapInPandas(again(level, tasks == 1), PIECES))
+        made = stage(left.mapInPandas(trimmed(again(level, tasks == 1)), PIECES))
         out = out.unionByName(made.filter("sequence_id IS NOT NULL"))
         if tasks <= 1:
             return out
