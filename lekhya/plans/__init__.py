@@ -1,7 +1,7 @@
 """Registered queries over the given tables."""
 
-from lekhya.plans import (flow_queries, index_queries, record_queries,  # noqa: F401
-                          retrieval_queries, text_queries)
+from lekhya.plans import (flow_queries, index_queries, processing_queries,  # noqa: F401
+                          record_queries, retrieval_queries, text_queries)
 from lekhya.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
