@@ -124,12 +124,13 @@ def append_objects(incoming: DataFrame, path: str) -> int:
     """Append objects to a write-once store; returns how many were new.
 
     ``incoming``: object_key, sha256, data.  The same object again is no-op; another
-    content under a stored key, several contents under one key of the batch, or a wrong
-    checksum stop the append before anything is written.
+    content under a stored key, several contents under one key of the batch, or a wrong or
+    missing checksum stop the append before anything is written.
     """
     spark = incoming.sparkSession
     batch = stage(incoming)
-    if not batch.filter(F.sha2("data", 256) != F.lower("sha256")).isEmpty():
+    right = F.sha2("data", 256) == F.lower("sha256")
+    if not batch.filter(~F.coalesce(right, F.lit(False))).isEmpty():
         raise ValueError("checksum mismatch")
     try:
         stored = spark.read.parquet(path).select("object_key", "sha256")

@@ -376,6 +376,10 @@ def test_object_store_is_write_once(spark, tmp_path):
     assert files.append_objects(batch(b"one"), path) == 1 and files.append_objects(batch(b"one"), path) == 0
     with pytest.raises(ValueError):
         files.append_objects(batch(b"two"), path)
+    for missing in ("sha256", "data"):
+        with pytest.raises(ValueError, match="checksum"):
+            files.append_objects(batch(b"one").withColumn(missing, F.lit(None).cast(
+                "string" if missing == "sha256" else "binary")), path)
     assert files.verify_objects(spark.read.parquet(path)).count() == 0
 
 
