@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lekhya import fixed_values as fv
-from lekhya.operators.scale import running, scan_in_order, stretches
+from lekhya.operators.pointers import first_at_or_after, reached
+from lekhya.operators.scale import previous_row, running, scan_in_order, stretches
+from lekhya.session import stage
 
 
 def epoch_seconds(ts: str) -> Column:
@@ -49,19 +51,34 @@ def idempotent_replays(calls: DataFrame, keys: list[str], call_id: str, ts: str,
 
     ``executed`` stores a record that lives for the TTL; within it the same payload
     is ``replayed`` and another payload is a ``conflict``.  ``keys`` must name the
-    caller and endpoint too, so that callers do not share records.
+    caller and endpoint too, so that callers do not share records, and ``call_id`` a
+    call of a key.  A call without a time stores nothing and is executed.
+
+    Each call points at the first one that would find its record expired.  Calls after an
+    idle time of a TTL are executed, and so is every call on the pointers from them; they are
+    followed by doubling, so that a key without any pause is spread over all tasks.
     """
+    order = ["seconds", call_id]
     rows = calls.select(*keys, call_id, payload_hash, epoch_seconds(ts).alias("seconds"))
-    cut = stretches(rows, keys, ["seconds", call_id], "seconds", ttl_seconds)
-
-    def step(state, t, payload):
-        expires, stored = state
-        if expires is None or t >= expires:
-            return (t + ttl_seconds, payload), "executed"
-        return state, "replayed" if payload == stored else "conflict"
-
-    return scan_in_order(cut, [*keys, "stretch"], ["seconds", call_id], [*keys, call_id],
-                         ["seconds", payload_hash], lambda: (None, None), step, "outcome string")
+    timed = stage(rows.filter("seconds IS NOT NULL"))
+    node = F.struct(*keys, *order)
+    linked = first_at_or_after(timed, keys, "seconds", call_id, ttl_seconds, "then")
+    links = linked.select(node.alias("node"), F.when(F.col("then").isNotNull(), F.struct(
+        *keys, *[F.col("then")[c].alias(c) for c in order])).alias("next"))
+    before = previous_row(timed, keys, order, ["seconds"], "_before")
+    idle = F.col("seconds") >= F.col("_before.seconds") + ttl_seconds
+    starts = before.filter(F.coalesce(idle, F.lit(True))).select(node.alias("node"))
+    stored = reached(links, starts).withColumn("_stores", F.lit(True))
+    marked = (timed.withColumn("node", node).join(stored, "node", "left").drop("node")
+              .withColumn("_record", F.when(F.col("_stores"), F.struct(
+                  *order, F.col(payload_hash).alias("payload")))))
+    known = running(marked, keys, order, "_record", "_live", "max")
+    outcome = (F.when(F.col("_stores"), "executed")
+               .when(F.col(payload_hash).eqNullSafe(F.col("_live.payload")), "replayed")
+               .otherwise("conflict"))
+    untimed = rows.filter("seconds IS NULL").select(
+        *keys, call_id, F.lit("executed").alias("outcome"))
+    return known.select(*keys, call_id, outcome.alias("outcome")).unionByName(untimed)
 
 
 def crawl_pacing(requests: DataFrame, host: str, request_id: str, ts: str,

@@ -92,8 +92,8 @@ def _attach_carry(seg: DataFrame, carried: DataFrame, keys: list[str]) -> DataFr
 
 def running(df: DataFrame, keys: list[str], order: list[str], value: str, out: str,
             how: str = "sum") -> DataFrame:
-    """Inclusive running ``sum`` or ``max`` of ``value`` per key, exact for hot keys."""
-    fold = {"sum": F.sum, "max": F.max}[how]
+    """Inclusive running ``sum``, ``max`` or ``min`` of ``value`` per key, exact for hot keys."""
+    fold = {"sum": F.sum, "max": F.max, "min": F.min}[how]
     seg = segmented(df, keys, order)
     per_segment = seg.groupBy("_segment", *keys).agg(fold(value).alias("_fold"))
     tails = (per_segment.groupBy("_segment")
@@ -105,7 +105,7 @@ def running(df: DataFrame, keys: list[str], order: list[str], value: str, out: s
     w = Window.partitionBy("_segment", *keys).orderBy(*order)
     local, carry = fold(value).over(w), F.col("_carry")
     joined = local + F.coalesce(carry, F.lit(0)) if how == "sum" \
-        else F.greatest(local, F.coalesce(carry, local))
+        else {"max": F.greatest, "min": F.least}[how](local, carry)
     return (_attach_carry(seg, _carried(totals, keys), keys)
             .withColumn(out, joined).drop("_carry", "_segment"))
 

@@ -150,6 +150,23 @@ def html_links(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("page_id", "at", "source_url", "title", "doc_type")
 
 
+@query("followed_pages", """WITH RECURSIVE e AS (SELECT page_id AS a, CASE WHEN page_id % 97 = 96 THEN page_id - 20 ELSE page_id + 1 END AS b
+      FROM pages WHERE page_id % 41 <> 40),
+    r AS (SELECT page_id AS a FROM pages WHERE page_id % 60 = 0
+      UNION SELECT e.b FROM r JOIN e ON e.a = r.a)
+    SELECT 'https://example.com/list/' || a AS url FROM r""")
+def followed_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """The saved pages as listings: each names the next one, some lead back, some end."""
+    p = read_spread(spark, folder, "pages", "page_id")
+    address, n = F.lit("https://example.com/list/"), F.col("page_id")
+    then = F.when(n % 97 == 96, n - 20).otherwise(n + 1)
+    link = F.when(n % 41 != 40, F.concat(F.lit("<a href='../list/"), then, F.lit("'>Next</a>")))
+    listings = p.select(n, F.concat(address, n).alias("url"), F.concat(
+        F.coalesce(link, F.lit("")), F.regexp_replace("html", "(?i)next|»", "")).alias("html"))
+    start = listings.filter("page_id % 60 = 0").select("url")
+    return listing.follow_pages(listings.select("url", "html"), start, DOMAINS, ["/list"])
+
+
 @query("listing_dates", """SELECT o_orderkey, CASE WHEN o_custkey % 3 < 2 THEN CAST(o_orderdate AS DATE) END AS listed FROM orders""")
 def listing_dates(spark: SparkSession, folder: str) -> DataFrame:
     """Order dates as portals print them: day first, year first, or not a date at all."""

@@ -14,6 +14,7 @@ from lekhya.functions.dates import listing_date
 from lekhya.functions.regex import java_pattern
 from lekhya.functions.text import strip
 from lekhya.operators.ingest import canonical_url, url_allowed
+from lekhya.operators.pointers import reached
 from lekhya.session import stage
 
 LINKS = "array<struct<href:string,text:string>>"
@@ -193,17 +194,23 @@ def follow_pages(pages: DataFrame, start: DataFrame, domains: list[str],
                  prefixes: list[str]) -> DataFrame:
     """Addresses reached from ``start`` over next-page links among saved pages.
 
-    Each round joins the frontier with the link table; an address is visited once.
+    Chains are followed by pointer doubling, cycles included.  Where an address was saved with
+    several next links, the smallest is its pointer and the others begin chains of their own.
     """
     links = parse_pages(pages.select("url", "html"), "url")
     following = F.get(F.filter("links", lambda a: a["text"].rlike(
         java_pattern("Next|»|अगला", True))), F.lit(0))["href"]
     edges = stage(links.select("url", resolve_url(F.col("url"), following).alias("next"))
                   .filter("next IS NOT NULL")
-                  .filter(url_allowed(F.col("next"), domains, prefixes)))
-    visited = frontier = stage(start.select("url").distinct())
-    while not frontier.isEmpty():
-        step = frontier.join(edges, "url").select(F.col("next").alias("url")).distinct()
-        frontier = stage(step.join(visited, "url", "left_anti"))
-        visited = visited.unionByName(frontier)
-    return visited
+                  .filter(url_allowed(F.col("next"), domains, prefixes)).distinct())
+    pointers = stage(edges.groupBy("url").agg(F.min("next").alias("next")))
+    others = stage(edges.join(pointers, ["url", "next"], "left_anti"))
+    pointers = pointers.withColumnRenamed("url", "node")
+    visited = reached(pointers, start.select(F.col("url").alias("node")))
+    while True:
+        more = stage(others.join(visited, F.col("url") == F.col("node"), "left_semi")
+                     .select(F.col("next").alias("node")).distinct()
+                     .join(visited, "node", "left_anti"))
+        if more.isEmpty():
+            return visited.withColumnRenamed("node", "url")
+        visited = reached(pointers, visited.unionByName(more))
