@@ -5,6 +5,10 @@ selects a declarative mapping, which yields the canonical turns (conversation, t
 text).  Turns are rendered with a template whose markers cannot occur in an escaped text, and
 the rendering can be read back without loss.  Each turn is rendered on its own, so that a
 conversation of any length streams through in order and is never held whole.
+
+Ids of conversations are text, so that numbers and names meet in one column; a null id is a
+conversation of its own.  A record that no mapping fits, or that is not JSON, has no turns and
+is a row of ``rejected`` that says why; null records have neither.
 """
 
 from __future__ import annotations
@@ -14,11 +18,12 @@ import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-TURNS = "conv_id long, turn long, part int, role string, text string"
+TURNS = "conv_id string, turn long, part int, role string, text string"
 
 
 def field_paths(value, path: str = "") -> set[str]:
@@ -41,6 +46,7 @@ class Mapping:
     ``paths``: the field paths of the layout.  ``turns``: (role, path of the text, path of a
     text to append or "") for fixed fields; or ``each``: list of messages with ``role`` and
     ``text`` fields.  A role that starts with "." is a path.  ``roles`` renames roles.
+    ``optional``: paths that a record may have besides; what lies below one belongs to it.
     """
     paths: tuple[str, ...]
     conv: str
@@ -50,11 +56,22 @@ class Mapping:
     role: str = ""
     text: str = ""
     roles: dict = field(default_factory=dict)
+    optional: tuple[str, ...] = ()
 
     @property
     def key(self) -> str:
         return fingerprint(self.paths)
 
+    def reduced(self, paths: frozenset[str]) -> set[str]:
+        """A record's paths without the optional ones; an empty or null list of messages
+        stands for the paths of its messages."""
+        kept = {p for p in paths if not any(
+            p == o or p.startswith((o + ".", o + "[")) for o in self.optional)}
+        if self.each and kept & {self.each, self.each + "[]"}:
+            kept -= {self.each, self.each + "[]"}
+            kept |= {p for p in self.paths if p.startswith(self.each + "[].")}
+        return kept
+
 
 def at(record, path: str):
     """The value at ``.a.b``; None where it is missing."""
@@ -63,18 +80,30 @@ def at(record, path: str):
     return record
 
 
+def plain(value, what: str) -> str:
+    """A text or null, as text."""
+    if value is not None and not isinstance(value, str):
+        raise ValueError(f"{what} is not a text")
+    return value or ""
+
+
 def apply(mapping: Mapping, record: dict) -> Iterator[tuple]:
     """(conv_id, turn, part, role, text); a null text is empty, a null role is ""."""
     conv, turn = at(record, mapping.conv), at(record, mapping.turn) if mapping.turn else None
+    if conv is not None and not isinstance(conv, str):
+        conv = json.dumps(conv)
+    if turn is not None and (type(turn) is not int or not -1 << 63 <= turn < 1 << 63):
+        raise ValueError("the turn is not a 64-bit integer")
     if mapping.each:
         found = [(m.get(mapping.role), m.get(mapping.text)) for m in at(record, mapping.each) or ()]
     else:
         found = [(at(record, r) if r.startswith(".") else r,
-                  "\n\n".join(filter(None, (at(record, a), at(record, b) if b else None))))
+                  "\n\n".join(filter(None, (plain(at(record, p), p) for p in (a, b) if p))))
                  for r, a, b in mapping.turns]
     for i, (role, text) in enumerate(found):
-        yield (conv, i if turn is None else turn, i,
-               mapping.roles.get(role, role) or "", text or "")
+        role = plain(role, "a role")
+        yield (conv, i if turn is None else turn, i, mapping.roles.get(role, role) or "",
+               plain(text, "a text"))
 
 
 SHARE_ROLES = {"human": "user", "gpt": "assistant"}
@@ -82,7 +111,7 @@ LAYOUTS = (
     Mapping((".conv_id", ".role", ".text", ".turn"), ".conv_id", ".turn",
             ((".role", ".text", ""),)),
     Mapping((".conv_id", ".messages[].content", ".messages[].role"), ".conv_id",
-            each=".messages", role="role", text="content"),
+            each=".messages", role="role", text="content", optional=(".messages[].name",)),
     Mapping((".conv_id", ".conversations[].from", ".conversations[].value"), ".conv_id",
             each=".conversations", role="from", text="value", roles=SHARE_ROLES),
     Mapping((".conv_id", ".prompt", ".response"), ".conv_id",
@@ -96,28 +125,63 @@ LAYOUTS = (
 )
 
 
-def canonical_turns(records: DataFrame, layouts: tuple[Mapping, ...] = LAYOUTS,
-                    column: str = "record") -> DataFrame:
-    """Turns of JSON records.  A layout without a mapping raises an error that names its
-    paths, so that no record is lost in silence; null records have no turns."""
+LAYOUTS_REMEMBERED = 4096
+
+
+def chooser(layouts: tuple[Mapping, ...]):
+    """The mapping for a set of field paths: by its fingerprint, or else by the fingerprint of
+    what is left of it without a mapping's optional paths; None where there is none."""
     by_key = {m.key: m for m in layouts}
 
+    @lru_cache(LAYOUTS_REMEMBERED)
+    def choose(paths: frozenset[str]) -> Mapping | None:
+        return by_key.get(fingerprint(paths)) or next(
+            (m for m in layouts if fingerprint(m.reduced(paths)) == m.key), None)
+
+    return choose
+
+
+def read_records(records: DataFrame, layouts: tuple[Mapping, ...] = LAYOUTS,
+                 column: str = "record") -> DataFrame:
+    """The turns of JSON records, and a row with ``record`` and ``problem`` and no turn for each
+    record that cannot be read: no JSON, no mapping for its layout, or a field of another type."""
     def run(batches):
+        choose = chooser(layouts)
         for pdf in batches:
             rows = []
             for line in pdf["record"]:
                 if line is None:
                     continue
-                record = json.loads(line)
-                paths = field_paths(record)
-                mapping = by_key.get(fingerprint(paths))
-                if mapping is None:
-                    raise ValueError(f"no mapping for layout {sorted(paths)}")
-                rows += apply(mapping, record)
-            made = pd.DataFrame(rows, columns=["conv_id", "turn", "part", "role", "text"])
-            yield made.astype({"conv_id": "Int64", "turn": "Int64"})
+                try:
+                    record = json.loads(line)
+                    paths = frozenset(field_paths(record))
+                    mapping = choose(paths)
+                    if mapping is None:
+                        raise ValueError(f"no mapping for layout {sorted(paths)}")
+                    rows += [(*turn, None, None) for turn in apply(mapping, record)]
+                except (ValueError, AttributeError, RecursionError) as e:
+                    rows.append((None, None, None, None, None, line,
+                                 str(e) or type(e).__name__))
+            made = pd.DataFrame(rows, columns=["conv_id", "turn", "part", "role", "text",
+                                               "record", "problem"])
+            yield made.astype({"conv_id": object, "turn": "Int64", "part": "Int32"})
+
+    return records.select(F.col(column).alias("record")).mapInPandas(
+        run, f"{TURNS}, record string, problem string")
+
+
+def canonical_turns(records: DataFrame, layouts: tuple[Mapping, ...] = LAYOUTS,
+                    column: str = "record") -> DataFrame:
+    """Turns of the JSON records that a mapping fits; ``rejected`` has the others."""
+    return (read_records(records, layouts, column).filter("problem IS NULL")
+            .drop("record", "problem"))
+
 
-    return records.select(F.col(column).alias("record")).mapInPandas(run, TURNS)
+def rejected(records: DataFrame, layouts: tuple[Mapping, ...] = LAYOUTS,
+             column: str = "record") -> DataFrame:
+    """``record`` and ``problem`` of every record that ``canonical_turns`` leaves out."""
+    return (read_records(records, layouts, column).filter("problem IS NOT NULL")
+            .select("record", "problem"))
 
 
 #: Control strings of the template.  None contains the escape character.
@@ -188,13 +252,14 @@ def formatted(turns: DataFrame) -> DataFrame:
                 rows.append((conv, turn, part, role, start + body + stop, *mask))
             made = pd.DataFrame(rows, columns=["conv_id", "turn", "part", "role", "formatted",
                                                "loss_start", "loss_end"])
-            yield made.astype({c: "Int64" for c in ("conv_id", "turn", "loss_start", "loss_end")})
+            yield made.astype({"conv_id": object} | dict.fromkeys(
+                ("turn", "loss_start", "loss_end"), "Int64"))
 
-    return turns.mapInPandas(run, "conv_id long, turn long, part int, role string, "
+    return turns.mapInPandas(run, "conv_id string, turn long, part int, role string, "
                                   "formatted string, loss_start long, loss_end long")
 
 
-DIGEST = ("conv_id long, n_turns long, turns_sha256 string, loss_chars long, "
+DIGEST = ("conv_id string, n_turns long, turns_sha256 string, loss_chars long, "
           "loss_sha256 string, formatted_chars long")
 
 
@@ -211,16 +276,15 @@ def read_back(rendered: DataFrame) -> DataFrame:
 
         def result():
             n, said, chars, learnt, size = state
-            return None if now is pd.NA else now, n, said.hexdigest(), chars, learnt.hexdigest(), size
+            return now, n, said.hexdigest(), chars, learnt.hexdigest(), size
 
         for pdf in batches:
             rows = []
-            for conv, text, start, end in zip(pdf["conv_id"].astype("Int64"), pdf["formatted"],
+            ids = pdf["conv_id"].astype(object)
+            for conv, text, start, end in zip(ids.where(ids.notna(), None), pdf["formatted"],
                                               pdf["loss_start"].astype("Int64"),
                                               pdf["loss_end"].astype("Int64")):
-                same = state is not None and (conv is now or bool(
-                    conv is not pd.NA and now is not pd.NA and conv == now))
-                if not same:
+                if state is None or conv != now:
                     if state is not None:
                         rows.append(result())
                     now, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
@@ -238,7 +302,7 @@ def read_back(rendered: DataFrame) -> DataFrame:
 
     def frame(rows):
         names = [c.split()[0] for c in DIGEST.split(", ")]
-        return pd.DataFrame(rows, columns=names).astype({"conv_id": "Int64"})
+        return pd.DataFrame(rows, columns=names).astype({"conv_id": object})
 
     return (rendered.repartition("conv_id").sortWithinPartitions(*order)
             .select("conv_id", "formatted", "loss_start", "loss_end").mapInPandas(run, DIGEST))

@@ -202,7 +202,8 @@ def op8(spark, sf_dir):
         F.struct(F.lit(role).alias("role"), F.lit(_OK).alias("content"))
         for role in ("user", "assistant")]).alias("messages"))
     records = rows.unionByName(spark.range(1).select(F.to_json(extra).alias("record")))
-    return chat.read_back(chat.formatted(chat.canonical_turns(records)))
+    read = chat.read_back(chat.formatted(chat.canonical_turns(records)))
+    return read.withColumn("conv_id", F.col("conv_id").cast("long"))
 
 
 @query("op9_minhash_fingerprints")

@@ -34,24 +34,44 @@ def test_layouts_meet_in_canonical_turns(spark):
         {"conv_id": 6, "turn": 3, "role": None, "text": "t"}]
     df = spark.createDataFrame([(json.dumps(r),) for r in records] + [(None,)], "record string")
     got = sorted((r.conv_id, r.turn, r.role, r.text) for r in chat.canonical_turns(df).collect())
-    assert got == [(1, 0, "user", "q"), (1, 1, "assistant", ""), (2, 0, "user", "q"),
-                   (2, 1, "assistant", "a"), (3, 0, "user", "q"), (3, 1, "assistant", "a"),
-                   (4, 0, "user", "do\n\nthis"), (4, 1, "assistant", "a"), (5, 0, "user", "do"),
-                   (5, 1, "assistant", "a"), (6, 3, "", "t")]
-    strange = spark.createDataFrame([('{"conv_id": 1, "other": 2}',)], "record string")
-    with pytest.raises(Exception, match="no mapping for layout"):
-        chat.canonical_turns(strange).collect()
+    assert got == [("1", 0, "user", "q"), ("1", 1, "assistant", ""), ("2", 0, "user", "q"),
+                   ("2", 1, "assistant", "a"), ("3", 0, "user", "q"), ("3", 1, "assistant", "a"),
+                   ("4", 0, "user", "do\n\nthis"), ("4", 1, "assistant", "a"),
+                   ("5", 0, "user", "do"), ("5", 1, "assistant", "a"), ("6", 3, "", "t")]
+    assert chat.rejected(df).count() == 0
     assert chat.read_back(chat.formatted(chat.canonical_turns(df.limit(0)))).count() == 0
 
 
+def test_odd_records_are_read_or_rejected_one_by_one(spark):
+    fine = [{"conv_id": "a-1", "messages": [{"role": "user", "content": "q", "name": "n"},
+                                            {"role": "assistant", "content": "a"}]},
+            {"conv_id": 1, "messages": []}, {"conv_id": 2, "messages": None},
+            {"conv_id": None, "prompt": "p", "response": "r"}]
+    odd = ['{"conv_id": 1, "other": 2}', "{", "", "[]", "7", "null",
+           '{"conv_id": 1, "prompt": 5, "response": "r"}',
+           '{"conv_id": 1, "turn": "x", "role": "user", "text": "t"}',
+           '{"conv_id": 1, "turn": 99999999999999999999, "role": "user", "text": "t"}',
+           '{"conv_id": 1, "messages": [{"role": "user", "content": ["t"]}]}',
+           '{"conv_id": 1, "messages": [{"role": "user", "content": "t"}, 4]}', "[" * 100_000]
+    lines = [json.dumps(r) for r in fine] + odd + [odd[0], None]
+    df = spark.createDataFrame([(line, 1) for line in lines], "record string, problem int")
+    got = [(r.conv_id, r.turn, r.part, r.role, r.text) for r in chat.canonical_turns(df).collect()]
+    assert got == [("a-1", 0, 0, "user", "q"), ("a-1", 1, 1, "assistant", "a"),
+                   (None, 0, 0, "user", "p"), (None, 1, 1, "assistant", "r")]
+    left = chat.rejected(df).collect()
+    assert sorted(r.record for r in left) == sorted([*odd, odd[0]])
+    assert all(r.problem for r in left)
+    assert "no mapping for layout ['.conv_id', '.other']" in {r.problem for r in left}
+
+
 def test_digests(spark):
-    turns = [(1, 1, 0, "assistant", "a\\b<s>"), (1, 0, 0, "user", None or ""), (1, 2, 0, "tool", "x"),
+    turns = [("1", 1, 0, "assistant", "a\\b<s>"), ("1", 0, 0, "user", None or ""), ("1", 2, 0, "tool", "x"),
              (None, 0, 0, "user", "n")]
     df = spark.createDataFrame(turns, chat.TURNS)
     got = {r.conv_id: r for r in chat.read_back(chat.formatted(df)).collect()}
     want = hashlib.sha256("user\n\nassistant\na\\b<s>\ntool\nx\n".encode()).hexdigest()
-    assert (got[1].n_turns, got[1].turns_sha256, got[1].loss_chars) == (3, want, 6)
-    assert got[1].loss_sha256 == hashlib.sha256(b"a\\b<s>").hexdigest()
+    assert (got["1"].n_turns, got["1"].turns_sha256, got["1"].loss_chars) == (3, want, 6)
+    assert got["1"].loss_sha256 == hashlib.sha256(b"a\\b<s>").hexdigest()
     assert got[None].n_turns == 1 and got[None].loss_chars == 0
 
 
