@@ -300,10 +300,15 @@ def hmac_sha256(message: Column, key: str) -> Column:
 
 
 def _json_value(c: Column) -> Column:
-    """A JSON scalar, non-ASCII characters escaped."""
+    """A JSON scalar, non-ASCII characters escaped with hex digits in lower case."""
     escaped = F.regexp_replace(F.to_json(
         F.array(c.cast("string")), {"writeNonAsciiCharacterAsCodePoint": "true"}), r"^\[|\]$", "")
-    return F.when(c.isNull(), "null").otherwise(escaped)
+    # an escaped backslash is a piece of its own, so that a "u" after it stays text
+    pieces = F.regexp_extract_all(escaped, F.lit(r"(\\u[0-9A-F]{4}|\\.|[^\\]+)"), 1)
+    lowered = F.array_join(F.transform(pieces, lambda p: F.when(
+        F.startswith(p, F.lit("\\u")), F.lower(p)).otherwise(p)), "")
+    return F.when(c.isNull(), "null").when(
+        F.contains(escaped, F.lit("\\u")), lowered).otherwise(escaped)
 
 
 def canonical_record(fields: dict[str, Column], numeric: tuple[str, ...] = ()) -> Column:

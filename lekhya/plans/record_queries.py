@@ -297,7 +297,7 @@ def _limb(i: int) -> str:
 def _ascii(text: str) -> str:
     """A JSON string with characters beyond ASCII as code points."""
     return (f"list_aggregate(list_transform(string_split({text}, ''), lambda c: CASE WHEN unicode(c) < 128 "
-            "THEN c ELSE '\\u' || printf('%04X', unicode(c)) END), 'string_agg', '')")
+            "THEN c ELSE '\\u' || printf('%04x', unicode(c)) END), 'string_agg', '')")
 
 
 @query("signed_inventory", f"""WITH {RECORDS_SQL}, j AS (SELECT source_id, concat(

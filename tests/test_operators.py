@@ -502,6 +502,14 @@ def test_canonical_json_is_ascii(spark):
     assert got.isascii() and json.loads(got) == {"t": "\u0936\u093e\u0938\u0928"}
 
 
+def test_canonical_json_equals_the_compact_ascii_form(spark):
+    texts = ["\u00e9\u00c9", "a\\u00E9", "a\\\\u00E9 \u00e9", "\U0001f600", "\x1f\n\t\"/", "[\u0936]", "", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "n int, t string")
+    record = ingest.canonical_record({"t": F.col("t"), "n": F.col("n")}, ("n",))
+    got = [r[0] for r in df.orderBy("n").select(record).collect()]
+    assert got == [json.dumps({"n": i, "t": t}, separators=(",", ":")) for i, t in enumerate(texts)]
+
+
 def test_lines_past_a_thousand_stay_apart(spark):
     rows = [(1, 5, 1, 1, 1000, 1, 0.0, 0.0, 5.0, 5.0, 90.0, "a"), (1, 5, 1, 2, 0, 1, 0.0, 9.0, 5.0, 5.0, 90.0, "b")]
     df = spark.createDataFrame(rows, "page int, level int, block_num int, par_num int, line_num int, word_num int, left double, top double, width double, height double, conf double, text string")
