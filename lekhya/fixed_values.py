@@ -123,36 +123,46 @@ BILINGUAL_TERMS = {
 }
 
 # --- stop words and category words (fixed values) ---------------------------
-STOPWORDS = (
-    "what which where when who whom whose why how is are was were be been being have has had "
-    "do does did the a an and or but if because as until while of at by for with about against "
-    "between into through during before after above below to from up down in out on off over "
-    "under again further then once here there all any both each few more most other some such "
-    "no nor not only own same so than too very can will just should now state government "
-    "guidelines uttarakhand uttaranchal uk details show according find per give please orders "
-    "order rules rule acts act me mein ko se par tha thi hai hain kya kitna kitne kaise kab "
-    "kisko hoga huye diya diye gaya hua hike "
-    "की का के में से को पर है हैं था थी थे और या क्या कितना कितने किस कौन द्वारा "
-    "उत्तराखण्ड उत्तराखंड उत्तरांचल शासन तथा एवं सहित हेतु दें बताएं दिखाएं "
-    "शासनादेश आदेश नियम नियमावली संख्या क्रमांक दिनांक"
-).split()
-CATEGORY_WORDS = (
-    "allowance allowances leave rules rule order orders guidelines guideline rate rates amount "
-    "grant grants sanction sanctioned officers officer employees employee servant servants staff "
-    "department scheme schemes policy policies notification circular procedure tenure days day "
-    "percentage percent benefits benefit assistance funds fund ceiling limit limits criteria "
-    "effective date month year annual daily monthly payment payout disbursement disburse "
-    "entitled entitlement admissible admissibility details prescribed specified total ratio "
-    "component deadline time period maximum minimum mandatory compulsory portal mode provision "
-    "provisions standard operating inspection verification verified disposing disposal cases "
-    "application applications "
-    "भत्ता भत्ते अवकाश नियम नियमावली आदेश शासनादेश निर्देश दिशा-निर्देश दर दरें धनराशि राशि "
-    "अनुदान स्वीकृति स्वीकृत अधिकारी अधिकारियों कर्मचारी कर्मचारियों सेवक सेवकों कार्मिक विभाग "
-    "योजना नीति अधिसूचना परिपत्र प्रक्रिया दिन दिनों प्रतिशत लाभ सहायता कोष सीमा मानदंड प्रभावी "
-    "लागू तिथि दिनांक माह वर्ष वार्षिक दैनिक मासिक भुगतान पात्रता पात्र विवरण निर्धारित कुल "
-    "अनुपात घटक समय अवधि अधिकतम न्यूनतम अनिवार्य पोर्टल माध्यम प्रावधान मानक संचालन निरीक्षण "
-    "सत्यापन निस्तारण निस्तारित वाद वादों आवेदन अभिलेख"
-).split()
+STOPWORDS = [
+    "what", "which", "where", "when", "who", "whom", "whose", "why", "how", "is", "are", "was",
+    "were", "be", "been", "being", "have", "has", "had", "do", "does", "did", "the", "a", "an",
+    "and", "or", "but", "if", "because", "as", "until", "while", "of", "at", "by", "for",
+    "with", "about", "against", "between", "into", "through", "during", "before", "after",
+    "above", "below", "to", "from", "up", "down", "in", "out", "on", "off", "over", "under",
+    "again", "further", "then", "once", "here", "there", "all", "any", "both", "each", "few",
+    "more", "most", "other", "some", "such", "no", "nor", "not", "only", "own", "same", "so",
+    "than", "too", "very", "can", "will", "just", "should", "now", "state", "government",
+    "guidelines", "uttarakhand", "uttaranchal", "uk", "details", "show", "according", "find",
+    "per", "give", "please", "orders", "order", "rules", "rule", "acts", "act", "me", "mein",
+    "ko", "se", "par", "tha", "thi", "hai", "hain", "kya", "kitna", "kitne", "kaise", "kab",
+    "kisko", "hoga", "huye", "diya", "diye", "gaya", "hua", "hike", "की", "का", "के", "में",
+    "से", "को", "पर", "है", "हैं", "था", "थी", "थे", "और", "या", "क्या", "कितना", "कितने",
+    "किस", "कौन", "द्वारा", "उत्तराखण्ड", "उत्तराखंड", "उत्तरांचल", "शासन", "तथा", "एवं",
+    "सहित", "हेतु", "दें", "बताएं", "दिखाएं", "शासनादेश", "आदेश", "नियम", "नियमावली", "संख्या",
+    "क्रमांक", "दिनांक",
+]
+CATEGORY_WORDS = [
+    "allowance", "allowances", "leave", "rules", "rule", "order", "orders", "guidelines",
+    "guideline", "rate", "rates", "amount", "grant", "grants", "sanction", "sanctioned",
+    "officers", "officer", "employees", "employee", "servant", "servants", "staff",
+    "department", "scheme", "schemes", "policy", "policies", "notification", "circular",
+    "procedure", "tenure", "days", "day", "percentage", "percent", "benefits", "benefit",
+    "assistance", "funds", "fund", "ceiling", "limit", "limits", "criteria", "effective",
+    "date", "month", "year", "annual", "daily", "monthly", "payment", "payout", "disbursement",
+    "disburse", "entitled", "entitlement", "admissible", "admissibility", "details",
+    "prescribed", "specified", "total", "ratio", "component", "deadline", "time", "period",
+    "maximum", "minimum", "mandatory", "compulsory", "portal", "mode", "provision",
+    "provisions", "standard", "operating", "inspection", "verification", "verified",
+    "disposing", "disposal", "cases", "application", "applications", "भत्ता", "भत्ते", "अवकाश",
+    "नियम", "नियमावली", "आदेश", "शासनादेश", "निर्देश", "दिशा-निर्देश", "दर", "दरें", "धनराशि",
+    "राशि", "अनुदान", "स्वीकृति", "स्वीकृत", "अधिकारी", "अधिकारियों", "कर्मचारी", "कर्मचारियों",
+    "सेवक", "सेवकों", "कार्मिक", "विभाग", "योजना", "नीति", "अधिसूचना", "परिपत्र", "प्रक्रिया",
+    "दिन", "दिनों", "प्रतिशत", "लाभ", "सहायता", "कोष", "सीमा", "मानदंड", "प्रभावी", "लागू",
+    "तिथि", "दिनांक", "माह", "वर्ष", "वार्षिक", "दैनिक", "मासिक", "भुगतान", "पात्रता", "पात्र",
+    "विवरण", "निर्धारित", "कुल", "अनुपात", "घटक", "समय", "अवधि", "अधिकतम", "न्यूनतम",
+    "अनिवार्य", "पोर्टल", "माध्यम", "प्रावधान", "मानक", "संचालन", "निरीक्षण", "सत्यापन",
+    "निस्तारण", "निस्तारित", "वाद", "वादों", "आवेदन", "अभिलेख",
+]
 
 # --- question understanding patterns, in the order they are tried (fixed values)
 HIGH_RISK_PATTERNS = [

@@ -228,6 +228,9 @@ def test_chunk_blocks_splits_sections_like_one_pass(spark):
     assert [(r["version_id"], r["chunk_index"], r["content"], r["block_ids"], r["section_heading"]) for r in got] == [
         (v, i, c["content"], c["block_ids"], c["section_heading"]) for v, i, c in want]
     assert {b for r in got for b in r["block_ids"]} == {r[3] for r in rows}
+    short = chunking.chunk_blocks(df, heading_length=6, max_boxes=2).orderBy("version_id", "chunk_index").collect()
+    assert [(r["content"], r["section_heading"], [list(b) for b in r["bboxes"]]) for r in short] == [
+        (r["content"], r["section_heading"] and r["section_heading"][:6], [list(b) for b in r["bboxes"]][:2]) for r in got]
 
 
 def test_proviso_and_schedule_bind_to_their_clause(spark):
