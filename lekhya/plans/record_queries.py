@@ -13,7 +13,7 @@ from lekhya.operators.scale import previous_row
 from lekhya.plans.corpus import NOW, RECORDS_SQL, read, read_spread, records, turns
 from lekhya.plans.registry import query
 from lekhya.plans.text_queries import exchanges
-from lekhya.sources import listing, robots
+from lekhya.sources import listing, robots, saved_listing
 
 DOMAINS, PREFIXES = ["example.com", "blog.tionsh.example.net", "example.org"], ["/en", "/de"]
 _HOST = "lower(regexp_replace(regexp_replace(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.\\-]*://([^/?#]*)', 1), '^.*@', ''), ':[0-9]*$', ''))"
@@ -150,6 +150,17 @@ def html_links(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("page_id", "at", "source_url", "title", "doc_type")
 
 
+@query("connector_pages", r"""SELECT page_id, url, len(regexp_extract_all(html, '(?i)<a\s[^>]*href')) AS links,
+      regexp_extract(html, '(?i)<a\s[^>]*href="([^"]*)"', 1) AS first_link FROM pages""")
+def connector_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """The given pages by the connector's own reader."""
+    saved_listing.register(spark)
+    pages = spark.read.format("saved_listing").load(f"{folder}/pages.parquet")
+    return pages.select(
+        "page_id", "url", F.size("links").cast("long").alias("links"),
+        F.coalesce(F.get("links", F.lit(0))["href"], F.lit("")).alias("first_link"))
+
+
 @query("followed_pages", """WITH RECURSIVE e AS (SELECT page_id AS a, CASE WHEN page_id % 97 = 96 THEN page_id - 20 ELSE page_id + 1 END AS b
       FROM pages WHERE page_id % 41 <> 40),
     r AS (SELECT page_id AS a FROM pages WHERE page_id % 60 = 0

@@ -74,6 +74,14 @@ class _Listing(HTMLParser):
         self._close_row()
 
 
+def parsed(html: str | None) -> tuple[list[dict], list[dict]]:
+    """Rows and links of one page; a missing page has none."""
+    parser = _Listing()
+    parser.feed(html or "")
+    parser.close()
+    return parser.rows, parser.links
+
+
 def parse_pages(pages: DataFrame, id_col: str, html: str = "html") -> DataFrame:
     """Add ``rows`` and ``links`` to each page; one narrow pass."""
     kept = [f for f in pages.schema.fields if f.name != html]
@@ -82,14 +90,8 @@ def parse_pages(pages: DataFrame, id_col: str, html: str = "html") -> DataFrame:
 
     def run(batches):
         for pdf in batches:
-            rows, links = [], []
-            for body in pdf[html]:
-                parser = _Listing()
-                parser.feed(body or "")
-                parser.close()
-                rows.append(parser.rows)
-                links.append(parser.links)
-            yield pdf[names].assign(rows=rows, links=links)
+            found = [parsed(body) for body in pdf[html]]
+            yield pdf[names].assign(rows=[f[0] for f in found], links=[f[1] for f in found])
 
     return pages.mapInPandas(run, f"{schema}, rows {ROWS}, links {LINKS}")
 
@@ -144,8 +146,13 @@ def discover(pages: DataFrame, portal: Portal, id_col: str = "page_id", url: str
     Table rows are read by their number of columns; a page without usable rows
     contributes its document links instead.
     """
-    parsed = parse_pages(pages, id_col)
-    rows = parsed.select(id_col, F.col(url).alias("_base"),
+    return listed_items(parse_pages(pages, id_col), portal, id_col, url)
+
+
+def listed_items(pages: DataFrame, portal: Portal, id_col: str = "page_id",
+                 url: str = "url") -> DataFrame:
+    """As ``discover``, for pages that were parsed already (``rows`` and ``links``)."""
+    rows = pages.select(id_col, F.col(url).alias("_base"),
                          F.posexplode("rows").alias("at", "row")).filter(
         (F.size("row.cells") >= 2) & F.col("row.href").isNotNull())
     cells, n = F.col("row.cells"), F.size("row.cells")
@@ -164,7 +171,7 @@ def discover(pages: DataFrame, portal: Portal, id_col: str = "page_id", url: str
         id_col, "_base", "at", F.col("row.href").alias("href"), title.alias("title"),
         number.alias("go_number"), listing_date(second).alias("displayed_date"),
         F.lit(True).alias("_row"))
-    links = parsed.select(id_col, F.col(url).alias("_base"), F.size("rows").alias("_rows"),
+    links = pages.select(id_col, F.col(url).alias("_base"), F.size("rows").alias("_rows"),
                           F.posexplode("links").alias("at", "link"))
     from_links = links.select(
         id_col, "_base", "at", F.col("link.href").alias("href"), F.col("link.text").alias("title"),
