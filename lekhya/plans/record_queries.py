@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lekhya import fixed_values as fv
 from lekhya.functions.dates import listing_date
-from lekhya.operators import catalogue, ingest, memory, metrics, requests
+from lekhya.operators import catalogue, ingest, memory, metrics, requests, selection
 from lekhya.operators.scale import previous_row
 from lekhya.plans.corpus import NOW, RECORDS_SQL, read, read_spread, records, turns
 from lekhya.plans.registry import query
@@ -500,6 +500,14 @@ def audit_recent(spark: SparkSession, folder: str) -> DataFrame:
     return catalogue.page(e, [F.desc("ts"), F.col("event_id")], 50)
 
 
+@query("deep_audit_page", """SELECT event_id, value, user_id, (SELECT count(*) FROM events) AS total FROM events
+    QUALIFY row_number() OVER (ORDER BY value DESC NULLS LAST, event_id) BETWEEN 5001 AND 5100""")
+def deep_audit_page(spark: SparkSession, folder: str) -> DataFrame:
+    """Events by value, a page from the middle of them."""
+    e = read(spark, folder, "events").select("event_id", "value", "user_id")
+    return selection.deep_page(e, [("value", True), ("event_id", False)], 100, 5000, "total")
+
+
 _TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
            "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
