@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lekhya import fixed_values as fv
 from lekhya.functions.dates import listing_date
-from lekhya.operators import catalogue, ingest, memory, metrics, requests, selection
+from lekhya.operators import catalogue, ingest, memory, metrics, requests, selection, url_rules
 from lekhya.operators.scale import previous_row
 from lekhya.plans.corpus import NOW, RECORDS_SQL, read, read_spread, records, turns
 from lekhya.plans.registry import query
@@ -40,6 +40,31 @@ def url_guard(spark: SparkSession, folder: str) -> DataFrame:
     return p.select("page_id", ingest.url_allowed(F.col("url"), DOMAINS, PREFIXES).alias("allowed"))
 
 
+@query("url_rule_table", f"""WITH p AS (SELECT page_id, url AS u FROM pages),
+    h AS (SELECT page_id, {_HOST} AS host, regexp_extract(u, '^[a-z]+://[^/?#]*([^?#;]*)', 1) AS path FROM p),
+    r AS (SELECT DISTINCT host, substr(path, 1, 4) AS prefix, length(host) % 2 = 0 AS allow FROM h
+      UNION SELECT DISTINCT regexp_extract(host, '[^.]+[.][^.]+$') AS host, '/' AS prefix, ends_with(host, '.com') AS allow FROM h
+      UNION SELECT host, path AS prefix, min(page_id) % 3 = 0 AS allow FROM h WHERE path LIKE '%/' OR path LIKE '%.html' GROUP BY ALL),
+    m AS (SELECT h.page_id, arg_max(r, length(r.host) * 100000 + length(r.prefix)) AS r FROM h
+      JOIN r ON (h.host = r.host OR ends_with(h.host, '.' || r.host)) AND starts_with(h.path, r.prefix) GROUP BY h.page_id)
+    SELECT page_id, coalesce(m.r.allow, false) AS allowed, m.r.host AS rule_host, m.r.prefix AS rule_prefix FROM h LEFT JOIN m USING (page_id)""")
+def url_rule_table(spark: SparkSession, folder: str) -> DataFrame:
+    """Rules for hosts and languages, for whole domains, and for single pages of some forms."""
+    p = read(spark, folder, "pages").select("page_id", "url")
+    host, path = ingest.url_host(F.col("url")), ingest.url_path(F.col("url"))
+    h = p.select("page_id", host.alias("host"), path.alias("path"))
+    rules = h.select("host", F.substring("path", 1, 4).alias("prefix"),
+                     (F.length("host") % 2 == 0).alias("allow")).distinct()
+    rules = rules.union(h.select(F.regexp_extract("host", "[^.]+[.][^.]+$", 0), F.lit("/"),
+                                 F.endswith("host", F.lit(".com"))).distinct())
+    single = h.filter("path LIKE '%/' OR path LIKE '%.html'").groupBy("host", "path").agg(
+        F.min("page_id").alias("first"))
+    rules = rules.union(single.select("host", "path", F.col("first") % 3 == 0))
+    return url_rules.decide(p, rules).select(
+        "page_id", "allowed", F.col("rule.host").alias("rule_host"),
+        F.col("rule.prefix").alias("rule_prefix"))
+
+
 _ROBOTS = {"blog.tionsh.example.net": "User-agent: *\nDisallow: /fr\nDisallow: /en/9"}
 
 
