@@ -7,7 +7,8 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lekhya import fixed_values as fv
-from lekhya.operators import access, chunking, memory, metrics, quality, understanding
+from lekhya.operators import (access, automaton, chunking, memory, metrics, quality,
+                              understanding)
 from lekhya.plans.corpus import RECORDS_SQL, read, records
 from lekhya.plans.registry import query
 
@@ -133,3 +134,26 @@ def page_reference_quality(spark: SparkSession, folder: str) -> DataFrame:
     found = quality.page_reference_quality(misread, turns.filter("version_id % 5 > 0"))
     return found.select("version_id", "page_number", F.round("cer", 6).alias("cer"),
                         F.round("exact_match", 6).alias("exact_match"))
+
+
+_STAGES = ", ".join(f"'{s}'" for s in fv.AGENT_STATES[:8])
+
+
+@query("run_audits", f"""WITH s AS (SELECT conv_id, turn, CASE WHEN (conv_id * 7 + turn * 3) % 23 = 0 THEN 'RETRIEVE'
+        ELSE list_extract([{_STAGES}], CAST(turn % 8 AS INT) + 1) END AS sign FROM conversations WHERE conv_id IS NOT NULL),
+    p AS (SELECT *, coalesce(lag(sign) OVER w, 'NEW') AS state, row_number() OVER w AS r FROM s WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+    x AS (SELECT *, coalesce(list_position([{_STAGES}], sign) = 1 + CASE state WHEN 'NEW' THEN 0 WHEN 'COMPLETED' THEN 0
+        ELSE list_position([{_STAGES}], state) END, false) AS legal FROM p)
+    SELECT conv_id, count(*) AS steps, CASE WHEN bool_and(legal) THEN arg_max(sign, r) ELSE 'ILLEGAL' END AS final_state,
+      min(turn) FILTER (NOT legal) AS illegal_turn, arg_min(state, r) FILTER (NOT legal) AS illegal_state FROM x GROUP BY conv_id""")
+def run_audits(spark: SparkSession, folder: str) -> DataFrame:
+    """Turns as the stages of a request; some retrieve where they should not."""
+    c = read(spark, folder, "conversations").select("conv_id", "turn")
+    stages = F.array(*[F.lit(s) for s in fv.AGENT_STATES[:8]])
+    sign = F.when((F.col("conv_id") * 7 + F.col("turn") * 3) % 23 == 0, "RETRIEVE").otherwise(
+        F.get(stages, (F.col("turn") % 8).cast("int")))
+    audits = automaton.run_audits(c.withColumn("sign", sign), ["conv_id"], ["turn"], "sign",
+                                  automaton.orchestration(), "NEW")
+    wrong = F.col("first_illegal")
+    return audits.select("conv_id", "steps", "final_state", wrong["turn"].alias("illegal_turn"),
+                         wrong["state"].alias("illegal_state"))
