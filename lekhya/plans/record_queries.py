@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lekhya import fixed_values as fv
 from lekhya.functions.dates import listing_date
-from lekhya.operators import catalogue, ingest, memory, metrics, requests, selection, url_rules
+from lekhya.operators import (catalogue, ingest, memory, metrics, requests, selection,
+                              text_index, url_rules)
 from lekhya.operators.scale import previous_row
 from lekhya.plans.corpus import NOW, RECORDS_SQL, read, read_spread, records, turns
 from lekhya.plans.registry import query
@@ -511,6 +512,13 @@ def documents_page(spark: SparkSession, folder: str) -> DataFrame:
                           [F.desc("order_date"), F.col("document_id")], 20, 20)
 
 
+@query("title_search", f"""WITH {RECORDS_SQL} SELECT document_id, title FROM records WHERE contains(lower(title), 're ha')""")
+def title_search(spark: SparkSession, folder: str) -> DataFrame:
+    """Titles that contain a piece of text, found by trigrams."""
+    titles = records(spark, folder).select("document_id", "title")
+    return text_index.search(text_index.build(titles, ["document_id"], "title"), "Re Ha")
+
+
 @query("audit_page", """SELECT event_id, ts, user_id, (SELECT count(*) FROM events WHERE event_type = 'error') AS total
     FROM events WHERE event_type = 'error' ORDER BY ts DESC, event_id LIMIT 50 OFFSET 50""")
 def audit_page(spark: SparkSession, folder: str) -> DataFrame:
@@ -714,17 +722,22 @@ def scorecard_grouping_sets(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("pilot_gate", """WITH o AS (SELECT CASE lang WHEN 'es' THEN 'no_answer' WHEN 'de' THEN 'acl_denied' ELSE 'known' END AS c,
-      quality = 0 AS refused, toxic = 1 AS leaked, quality = 1 AS hit FROM documents JOIN labels USING (doc_id))
-    SELECT round(avg(hit::INT) FILTER (WHERE c = 'known'), 6) AS recall_at_k, round(avg(refused::INT) FILTER (WHERE c = 'no_answer'), 6) AS refusal_rate,
-      count(*) FILTER (WHERE c = 'acl_denied' AND leaked) AS leaks, false AS passed FROM o""")
+      quality = 0 AS refused, toxic = 1 AS leaked, quality = 1 AS hit,
+      CASE WHEN n_chars % 5 > 0 THEN n_chars % 40 > 1 END AS page FROM documents JOIN labels USING (doc_id)),
+    r AS (SELECT coalesce(avg(hit::INT) FILTER (WHERE c = 'known'), 0) AS a, coalesce(avg(page::INT) FILTER (WHERE c = 'known'), 0) AS b,
+      coalesce(avg(refused::INT) FILTER (WHERE c = 'no_answer'), 0) AS d, count(*) FILTER (WHERE c = 'acl_denied' AND leaked) AS leaks FROM o)
+    SELECT round(a, 6) AS recall_at_k, round(b, 6) AS page_precision, round(d, 6) AS refusal_rate, leaks,
+      a >= 0.9 AND b >= 0.95 AND d >= 1 AND leaks = 0 AS passed FROM r""")
 def pilot_gate(spark: SparkSession, folder: str) -> DataFrame:
     d = read(spark, folder, "documents").join(read(spark, folder, "labels"), "doc_id")
     category = F.when(F.col("lang") == "es", "no_answer").when(F.col("lang") == "de", "acl_denied").otherwise("known")
+    page = F.when(F.col("n_chars") % 5 > 0, F.col("n_chars") % 40 > 1)    # some are not judged
     rows = d.select(category.alias("category"), (F.col("quality") == 0).alias("refused"),
                     (F.col("toxic") == 1).alias("leaked"), (F.col("quality") == 1).alias("recall_hit"),
-                    F.lit(None).cast("boolean").alias("page_hit"))
+                    page.alias("page_hit"))
     return metrics.pilot_gate(rows).select(
-        F.round("recall_at_k", 6).alias("recall_at_k"), F.round("refusal_rate", 6).alias("refusal_rate"),
+        F.round("recall_at_k", 6).alias("recall_at_k"),
+        F.round("page_precision", 6).alias("page_precision"), F.round("refusal_rate", 6).alias("refusal_rate"),
         "leaks", "passed")
 
 
