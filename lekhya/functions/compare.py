@@ -5,19 +5,49 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
 from lekhya.functions.text import nfc, strip, text_or_empty, words
 
 
+NEAR = 512  # edits looked for first between long texts
+
+
+def edit_distance(a: Column, b: Column) -> Column:
+    """Edits between two texts.  Long ones that lie within NEAR of each other, as readings of
+    one page do, need a band of the table only; for all others the whole of it is filled."""
+    near = F.nullif(F.levenshtein(a, b, NEAR), F.lit(-1))
+    return F.when(F.least(F.length(a), F.length(b)) > 4 * NEAR,
+                  F.coalesce(near, F.levenshtein(a, b))).otherwise(F.levenshtein(a, b))
+
+
 def cer(reference: Column, hypothesis: Column) -> Column:
     """Character error rate, unrounded; an empty reference scores 0."""
     ref, hyp = nfc(text_or_empty(reference)), nfc(text_or_empty(hypothesis))
-    rate = F.levenshtein(ref, hyp) / F.nullif(F.length(ref), F.lit(0))
+    rate = edit_distance(ref, hyp) / F.nullif(F.length(ref), F.lit(0))
     return F.coalesce(rate, F.lit(0.0))
 
 
+def with_error_rates(df: DataFrame, reference: str, hypothesis: str) -> DataFrame:
+    """Add ``cer``, ``cer_rounded`` and ``wer`` of two text columns.
+
+    Texts without outer spaces are the same trimmed, so one distance serves both rates.
+    """
+    pairs = df.withColumn("_ref", nfc(text_or_empty(F.col(reference)))).withColumn(
+        "_hyp", nfc(text_or_empty(F.col(hypothesis))))
+    found = pairs.withColumn("_edits", edit_distance(F.col("_ref"), F.col("_hyp"))).withColumn(
+        "_r", strip(F.col("_ref"))).withColumn("_h", strip(F.col("_hyp")))
+    plain = (F.col("_r") == F.col("_ref")) & (F.col("_h") == F.col("_hyp"))
+    trimmed = F.when(plain, F.col("_edits")).otherwise(edit_distance(F.col("_r"), F.col("_h")))
+    size = F.nullif(F.length("_ref"), F.lit(0))
+    rounded = F.round(trimmed / F.nullif(F.length("_r"), F.lit(0)), 4)
+    return found.select(
+        *df.columns, F.coalesce(F.col("_edits") / size, F.lit(0.0)).alias("cer"),
+        F.coalesce(rounded, F.when(F.length("_h") == 0, 0.0).otherwise(1.0)).alias("cer_rounded"),
+        wer(F.col(reference), F.col(hypothesis)).alias("wer"))
+
+
 def cer_rounded(reference: Column, hypothesis: Column) -> Column:
     """Benchmark variant: trimmed, 4 decimals, an empty reference scores 0 or 1."""
     ref, hyp = nfc(strip(text_or_empty(reference))), nfc(strip(text_or_empty(hypothesis)))

@@ -283,11 +283,8 @@ _EXCHANGES_SQL = """x AS (SELECT a.conv_id, a.turn, a.text AS asked, b.text AS r
 
 @query("error_rates")
 def error_rates(spark: SparkSession, folder: str) -> DataFrame:
-    x = exchanges(spark, folder)
-    return x.select("conv_id", "turn",
-                    F.round(compare.cer(F.col("reply"), F.col("asked")), 6).alias("cer"),
-                    compare.cer_rounded(F.col("reply"), F.col("asked")).alias("cer_rounded"),
-                    compare.wer(F.col("reply"), F.col("asked")).alias("wer"))
+    x = compare.with_error_rates(exchanges(spark, folder), "reply", "asked")
+    return x.select("conv_id", "turn", F.round("cer", 6).alias("cer"), "cer_rounded", "wer")
 
 
 @query("exact_match", f"""WITH {_EXCHANGES_SQL}, n AS (
