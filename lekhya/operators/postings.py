@@ -47,7 +47,9 @@ def build(chunks: DataFrame, doc: str, text: Column, group: Column) -> Index:
         F.floor(F.monotonically_increasing_id() / BLOCK).alias("block"),
         tokens(text).alias("toks"))
     numbered = stage(numbered.withColumn("len", F.size("toks")))
-    counted = (numbered.select("doc", "group", "block", "len", F.explode("toks").alias("term"))
+    # dealt out by block once, before words become rows: both groupings below stay in place
+    counted = (numbered.repartition("block")
+               .select("doc", "group", "block", "len", F.explode("toks").alias("term"))
                .groupBy("term", "block", "doc", "group", "len")
                .agg(F.count(F.lit(1)).cast("int").alias("tf")))
     postings = stage(counted.groupBy("term", "block").agg(
