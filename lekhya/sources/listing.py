@@ -19,6 +19,7 @@ from lekhya.session import stage
 
 LINKS = "array<struct<href:string,text:string>>"
 ROWS = "array<struct<cells:array<string>,href:string,text:string>>"
+PAGES_AT_ONCE = 256  # parsed pages are many times larger than their text
 
 
 class _Listing(HTMLParser):
@@ -90,8 +91,11 @@ def parse_pages(pages: DataFrame, id_col: str, html: str = "html") -> DataFrame:
 
     def run(batches):
         for pdf in batches:
-            found = [parsed(body) for body in pdf[html]]
-            yield pdf[names].assign(rows=[f[0] for f in found], links=[f[1] for f in found])
+            for at in range(0, len(pdf), PAGES_AT_ONCE):
+                part = pdf.iloc[at:at + PAGES_AT_ONCE]
+                found = [parsed(body) for body in part[html]]
+                yield part[names].assign(rows=[f[0] for f in found],
+                                         links=[f[1] for f in found])
 
     return pages.mapInPandas(run, f"{schema}, rows {ROWS}, links {LINKS}")
 
