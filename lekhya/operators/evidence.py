@@ -8,6 +8,7 @@ Relations stay in long form, because a much-cited order may have any number.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime
 
@@ -47,7 +48,10 @@ def select_passages(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     floor = F.greatest(F.lit(fv.PACKET_ABSOLUTE), F.col("_top") * fv.PACKET_RELATIVE)
     kept = top_k(best.filter((F.col("score") >= floor) | F.col("go_match")), fv.PACKET_MAX,
                  ["query_id"], [F.col("rank")], "position").drop("_top", "rank")
-    texts = _with_columns(chunks, PASSAGE).select("chunk_id", *PASSAGE)
+    kept = stage(kept)
+    # the semi join goes below the making of texts, so they are made for the kept chunks only
+    texts = _with_columns(chunks.join(F.broadcast(kept.select("chunk_id")), "chunk_id",
+                                      "left_semi"), PASSAGE).select("chunk_id", *PASSAGE)
     return texts.join(F.broadcast(kept), "chunk_id")
 
 
@@ -66,19 +70,25 @@ def incoming(passages: DataFrame, edges: DataFrame) -> DataFrame:
     return by_document.unionByName(by_number).dropDuplicates(["query_id", "position", "edge_id"])
 
 
-def build_packet(hits: DataFrame, chunks: DataFrame, edges: DataFrame, versions: DataFrame,
+def build_packet(hits: DataFrame, chunks: DataFrame,
+                 edges: DataFrame | Callable[[DataFrame], DataFrame], versions: DataFrame,
                  users: dict[str, User] | None = None, grants: DataFrame | None = None,
                  now: datetime | None = None) -> Packet:
     """Assemble the packet of every question.
 
     ``edges``: edge_id, source_version_id, target_document_id, cited_order_number,
-    relation_type.  ``versions``: version_id, document_id, go_number, effective_from,
+    relation_type; or a function that gives at least those edges that leave, target or cite one
+    of the passages passed to it.  ``versions``: version_id, document_id, go_number, effective_from,
     lifecycle_status, one row each.  Amending passages obey the access rule of
     the question's user.
     """
     selected = stage(select_passages(hits, chunks))
-    changed = incoming(selected, edges).join(
-        versions.select(F.col("version_id").alias("source_version_id"),
+    if callable(edges):
+        edges = edges(selected)
+    touching = stage(incoming(selected, edges))
+    sources = touching.select(F.col("source_version_id").alias("version_id"))
+    changed = touching.join(
+        versions.join(sources, "version_id", "left_semi").select(F.col("version_id").alias("source_version_id"),
                         F.col("document_id").alias("amending_doc"),
                         F.col("go_number").alias("amending_go"),
                         F.col("effective_from").alias("amending_from"),
@@ -140,6 +150,7 @@ def _amending_passages(selected: DataFrame, changed: DataFrame, chunks: DataFram
     usable = _with_columns(chunks, PASSAGE).filter(
         F.col("review_status").isin(fv.APPROVED_REVIEW))
     # versions named by the edges of at most eight passages, then the access rule
+    usable = usable.join(wanted.select("version_id"), "version_id", "left_semi")
     rows, rules = with_grants(usable.select(
         "version_id", "chunk_index", "chunk_id", "document_id", "classification", *PASSAGE)
         .join(wanted, "version_id"), list(set(users.values())) or [User()], grants, now)

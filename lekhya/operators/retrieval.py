@@ -277,7 +277,7 @@ def _statistics(slim: DataFrame, soft: DataFrame) -> DataFrame:
 
 
 def _scored(slim: DataFrame, batch: list[ParsedQuestion]) -> DataFrame:
-    soft = _soft_filters(slim)
+    soft = stage(_soft_filters(slim))
     weights = F.array(*[F.array(*[F.struct(F.lit(t).alias("term"), F.lit(m).alias("m"))
                                   for t, m in (q.weights or {"": 0}).items()]) for q in batch])
     rows = slim.select("chunk_id", "document_id", "version_id", "len", "tf", "codes",
@@ -310,13 +310,16 @@ def search(chunks: DataFrame, questions: list[Question], k: int = 10, rerank: bo
     if not batch:
         return spark.createDataFrame([], schema)
     slim = slim_rows(chunks, batch, grants, now, provenance_gate)
-    rows = _scored(slim, batch)
+    # read once for the peaks and once for the ranks
+    rows = stage(_scored(slim, batch).select(
+        "q", "chunk_id", "document_id", "version_id", "bm25", "cos", "matched", "go_match", "boost"))
     peaks = rows.groupBy("q").agg(F.greatest(F.max("bm25"), F.lit(1.0)).alias("peak"))
     bonus = F.least(F.col("matched") * fv.TERM_BONUS, F.lit(fv.TERM_BONUS_CAP))
     hybrid = F.least(F.lit(1.0), fv.HYBRID_BM25 * F.col("bm25") / F.col("peak")
                      + fv.HYBRID_VECTOR * F.col("cos") + bonus)
-    first = keep_top(rows.join(F.broadcast(peaks), "q").withColumn("hybrid", hybrid), 2 * k,
-                     ["q"], [F.desc("hybrid"), F.col("chunk_id")], "rank0")
+    first = stage(keep_top(
+        rows.join(F.broadcast(peaks), "q").withColumn("hybrid", hybrid), 2 * k, ["q"],
+        [F.desc("hybrid"), F.col("chunk_id")], "rank0"))
     top = first.groupBy("q").agg(F.max("hybrid").alias("top"))
     floor = F.greatest(F.lit(fv.CUTOFF_ABSOLUTE), F.col("top") * fv.CUTOFF_RELATIVE)
     kept = first.join(F.broadcast(top), "q").filter(

@@ -345,14 +345,24 @@ ORDER_QUESTIONS = [
 ]
 
 
-def notice_edges(spark: SparkSession, folder: str) -> DataFrame:
-    """Precedent edges read out of the notices and resolved to their targets."""
+def notice_edges(spark: SparkSession, folder: str, around: DataFrame | None = None) -> DataFrame:
+    """Precedent edges read out of the notices and resolved to their targets.
+
+    With passages ``around``: at least all edges that leave, target or cite one of them.
+    """
     n = order_notices(spark, folder)
-    refs = precedents.extract_precedents(n, "notice_id").withColumnRenamed(
+    texts, holders = n, n.select("notice_id", "number")
+    if around is not None:
+        texts = precedents.texts_around(n, "notice_id", holders, around)
+    refs = precedents.extract_precedents(texts, "notice_id").withColumnRenamed(
         "notice_id", "source_document_id")
-    versions = n.select(F.col("number").alias("go_number"), F.col("notice_id").alias("document_id"))
-    attributes = n.select(F.col("number").alias("order_number"),
-                          F.col("notice_id").alias("document_id"))
+    if around is not None:
+        refs = stage(refs)
+        holders = holders.join(refs.select(F.col("cited_order_number").alias("number")),
+                               "number", "left_semi")
+    versions = holders.select(F.col("number").alias("go_number"),
+                              F.col("notice_id").alias("document_id"))
+    attributes = versions.withColumnRenamed("go_number", "order_number")
     resolved = precedents.resolve_targets(refs, versions, attributes)
     # 4 bits for the family and 20 for the place of the citation in its text
     edge = F.col("source_document_id") * (1 << 24) + F.col("family") * (1 << 20) + F.col("at")
@@ -371,7 +381,9 @@ def notice_packet(spark: SparkSession, folder: str) -> tuple[DataFrame, evidence
     versions = chunks.select("version_id", "document_id", "go_number", "effective_from",
                              "lifecycle_status")
     users = {q.query_id: q.user for q in ORDER_QUESTIONS}
-    packet = evidence.build_packet(hits, chunks, staged_edges(spark, folder), versions, users)
+    packet = evidence.build_packet(
+        hits, chunks, lambda passages: stage(notice_edges(spark, folder, passages)), versions,
+        users)
     asked = spark.createDataFrame([(q.query_id, q.text) for q in ORDER_QUESTIONS],
                                   "query_id string, text string")
     return understanding.parse_questions(asked), packet
