@@ -7,9 +7,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from lekhya.llm.workers import BATCH_BYTES, BATCH_ROWS
 from lekhya.session import stage
 
-BATCH_ROWS, BATCH_BYTES = 1_000, 8 << 20
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lekhya.llm.components import components
-from lekhya.llm.workers import trimmed
+from lekhya.llm.workers import release_memory, trimmed, with_small_batches
 from lekhya.session import stage
 
 WORDS = 4
@@ -39,7 +39,8 @@ CLASSES = 4           # of frequent tokens
 QUARTER = np.uint64(1) << np.uint64(62)
 REMEMBERED = 100_000
 BROADCAST_KEYS = 1_000_000
-BLOCK_SETS, BLOCK_TOKENS = 700, 1_000_000
+BLOCK_SETS, BLOCK_TOKENS, BLOCK_SIGS = 700, 1_000_000, 1_000_000
+SLICE_ITEMS = 200_000  # tokens or signatures that a worker gathers before it hands them on
 
 
 class WordHashes(dict):
@@ -111,30 +112,83 @@ class Rule:
         return f"(({self.num} * ({n} + {m}) + {both - 1}) div {both})"
 
 
+def _lists(arrays: list[np.ndarray], of):
+    """An Arrow list column of ``of`` from one array a row."""
+    import pyarrow as pa
+
+    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    flat = np.concatenate(arrays) if arrays else np.empty(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, of))
+
+
+def _arrays(column) -> list[np.ndarray]:
+    """One array a row of an Arrow list column, without copies."""
+    ends = column.offsets.to_numpy()
+    values = column.values.to_numpy()  # not cut to the rows of a slice, as the offsets expect
+    return [values[x:y] for x, y in zip(ends[:-1], ends[1:])]
+
+
+def _sliced(rows, made):
+    """``made`` of lists of ``rows`` (size, row) that hold SLICE_ITEMS items or little more."""
+    held, items = [], 0
+    for size, row in rows:
+        held.append(row)
+        items += size + 1
+        if items >= SLICE_ITEMS:
+            yield made(held)
+            held, items = [], 0
+    if held:
+        yield made(held)
+
+
 def _sets(docs: DataFrame, words: int) -> DataFrame:
     """doc_id, n, digest of the set, and its tokens within the counted quarter."""
     def run(batches):
+        import pyarrow as pa
+
         hashes = WordHashes()
-        for pdf in batches:
-            rows = []
-            for doc_id, text in zip(pdf["doc_id"].astype("Int64"), pdf["text"]):
-                s = shingles(text, words, hashes)
-                rows.append((doc_id, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(),
-                             s[:np.searchsorted(s, QUARTER)].view(np.int64)))
-            made = pd.DataFrame(rows, columns=["doc_id", "n", "digest", "sample"])
-            yield made.astype({"doc_id": "Int64"})
 
-    return docs.mapInPandas(trimmed(run), "doc_id long, n int, digest binary, sample array<long>")
+        def rows():
+            for batch in batches:
+                for doc_id, text in zip(batch["doc_id"], batch["text"]):
+                    s = shingles(text.as_py(), words, hashes)
+                    own = s[:np.searchsorted(s, QUARTER)].copy()  # so that the rest can go
+                    yield len(own), (doc_id.as_py(), len(s), hashlib.blake2b(
+                        s.tobytes(), digest_size=16).digest(), own.view(np.int64))
+
+        def made(held):
+            ids, n, digests, samples = zip(*held)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), pa.array(n, pa.int32()),
+                 pa.array(digests, pa.binary()), _lists(samples, pa.int64())],
+                ["doc_id", "n", "digest", "sample"])
+
+        yield from _sliced(rows(), made)
+
+    return docs.mapInArrow(trimmed(run), "doc_id long, n int, digest binary, sample array<long>")
 
 
 def _tokens(docs: DataFrame, words: int) -> DataFrame:
     def run(batches):
+        import pyarrow as pa
+
         hashes = WordHashes()
-        for pdf in batches:
-            sets = [shingles(t, words, hashes).view(np.int64) for t in pdf["text"]]
-            yield pd.DataFrame({"id": pdf["doc_id"], "n": [len(s) for s in sets], "tokens": sets})
 
-    return docs.mapInPandas(trimmed(run), "id long, n int, tokens array<long>")
+        def rows():
+            for batch in batches:
+                for doc_id, text in zip(batch["doc_id"], batch["text"]):
+                    s = shingles(text.as_py(), words, hashes).view(np.int64)
+                    yield len(s), (doc_id.as_py(), s)
+
+        def made(held):
+            ids, sets = zip(*held)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), pa.array(list(map(len, sets)), pa.int32()),
+                 _lists(sets, pa.int64())], ["id", "n", "tokens"])
+
+        yield from _sliced(rows(), made)
+
+    return docs.mapInArrow(trimmed(run), "id long, n int, tokens array<long>")
 
 
 def _with_shared(sets: DataFrame, rows: DataFrame, counts: DataFrame, rule: Rule) -> DataFrame:
@@ -175,31 +229,49 @@ def _single_prefixes(counted: DataFrame, rule: Rule) -> DataFrame:
 
 def _signatures(counted: DataFrame, rule: Rule, frequent: int) -> DataFrame:
     """id, n, group, sigs, pos: rare tokens alone and pairs of frequent tokens of a class, from
-    prefixes extended by the number of classes."""
+    prefixes extended by the number of classes.  Only the prefixes go to Python, as numbers."""
     classes = np.uint64(rule.classes)
+    length = F.expr(f"{rule.spare_sql('n')} + {1 + rule.classes} - (n - size(shared))")
+    prefixes = counted.select(
+        "id", "n", "group", (F.col("n") - F.size("shared")).alias("own"),
+        F.slice("shared", F.lit(1), length).alias("prefix")).select(
+        "id", "n", "group", "own", F.col("prefix.groups").alias("count"),
+        F.col("prefix.token").alias("token"))
+
+    def signed(own, count, token):
+        pos = own + np.arange(len(token))
+        rare = count <= frequent
+        sigs, at = [token[rare]], [pos[rare]]
+        for c in range(int(classes)):
+            of = np.flatnonzero(~rare & (mixed(token) % classes == c))
+            for k, x in enumerate(of[:-1]):
+                sigs.append(mixed(mixed(token[x:x + 1]) + token[of[k + 1:]]))
+                # up to classes - 1 common tokens may stand before the pair
+                at.append(np.full(len(of) - k - 1, max(0, pos[x] - int(classes) + 1)))
+        return np.concatenate(sigs).view(np.int64), np.concatenate(at).astype(np.int32)
 
     def run(batches):
-        for pdf in batches:
-            all_sigs, all_pos = [], []
-            for n, shared in zip(pdf["n"], pdf["shared"]):
-                own = n - len(shared)
-                prefix = shared[:rule.spare(n) + 1 + rule.classes - own]
-                count = np.array([s["groups"] for s in prefix], np.int64)
-                token = np.array([s["token"] for s in prefix], np.int64).view(np.uint64)
-                pos = own + np.arange(len(prefix))
-                rare = count <= frequent
-                sigs, at = [token[rare]], [pos[rare]]
-                for c in range(int(classes)):
-                    of = np.flatnonzero(~rare & (mixed(token) % classes == c))
-                    for k, x in enumerate(of[:-1]):
-                        sigs.append(mixed(mixed(token[x:x + 1]) + token[of[k + 1:]]))
-                        # up to classes - 1 common tokens may stand before the pair
-                        at.append(np.full(len(of) - k - 1, max(0, pos[x] - int(classes) + 1)))
-                all_sigs.append(np.concatenate(sigs).view(np.int64))
-                all_pos.append(np.concatenate(at).astype(np.int32))
-            yield pdf[["id", "n", "group"]].assign(sigs=all_sigs, pos=all_pos)
-
-    return counted.mapInPandas(trimmed(run), "id long, n int, group long, sigs array<long>, pos array<int>")
+        import pyarrow as pa
+
+        def rows():
+            for batch in batches:
+                for id_, n, group, own, count, token in zip(
+                        *[batch[c].to_pylist() for c in ("id", "n", "group", "own")],
+                        _arrays(batch["count"]), _arrays(batch["token"])):
+                    sigs, pos = signed(own, count, token.view(np.uint64))
+                    yield len(sigs), (id_, n, group, sigs, pos)
+
+        def made(held):
+            ids, n, groups, sigs, pos = zip(*held)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), pa.array(n, pa.int32()), pa.array(groups, pa.int64()),
+                 _lists(sigs, pa.int64()), _lists(pos, pa.int32())],
+                ["id", "n", "group", "sigs", "pos"])
+
+        yield from _sliced(rows(), made)
+
+    return prefixes.mapInArrow(
+        trimmed(run), "id long, n int, group long, sigs array<long>, pos array<int>")
 
 
 def block_links(ids, n, group, block, sigs, pos, tokens, rule: Rule) -> list[tuple[int, int]]:
@@ -262,7 +334,8 @@ def _links_between_groups(index: DataFrame, sets: DataFrame, rule: Rule) -> Data
     members = stage(index.join(clusters.select(F.col("node").alias("id"), F.col("component")
                                                .alias("cluster")), "id"))
     sizes = members.groupBy("cluster").agg(F.greatest(
-        F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_TOKENS)).alias("blocks"))
+        F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_TOKENS),
+        F.ceil(F.sum(F.size("sigs")) / BLOCK_SIGS)).alias("blocks"))
     placed = (members.join(sizes, "cluster").join(sets.select("id", "tokens"), "id")
               .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
               .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -274,6 +347,9 @@ def _links_between_groups(index: DataFrame, sets: DataFrame, rule: Rule) -> Data
         links = block_links(arrays["id"], arrays["n"].astype(np.int64), arrays["group"],
                             arrays["block"], list(pdf["sigs"]), list(pdf["pos"]),
                             list(pdf["tokens"]), rule)
+        if len(pdf) > BLOCK_SETS // 4:  # the worker goes on to other groups, and to other stages
+            del pdf, arrays
+            release_memory()
         return pd.DataFrame(links, columns=["a", "b"], dtype=np.int64)
 
     return placed.groupBy("cluster", "low", "high").applyInPandas(verify, "a long, b long")
@@ -304,8 +380,14 @@ def similar_groups(docs: DataFrame, words: int = WORDS, similar: tuple[int, int]
     frequent token, large group or long text is left out.  A null or blank text has an empty
     set and no links.  Rows of one key count as one document, linked by any of its texts; a
     row without a key is linked like any other, but stands for no document, so its component
-    may be null.
+    may be null.  All texts and sets are met in here, in batches of a few MB.
     """
+    with with_small_batches(docs.sparkSession):
+        return _similar_groups(docs, words, similar, frequent, key, text)
+
+
+def _similar_groups(docs: DataFrame, words: int, similar: tuple[int, int], frequent: int,
+                    key: str, text: str) -> DataFrame:
     rule = Rule(*similar)
     docs = docs.select(F.col(key).cast("long").alias("doc_id"),
                        F.col(text).cast("binary").alias("text"))

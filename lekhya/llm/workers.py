@@ -5,8 +5,27 @@ from __future__ import annotations
 import ctypes
 import gc
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-import pandas as pd
+from pyspark.sql import SparkSession
+
+BATCH_ROWS, BATCH_BYTES = 1_000, 8 << 20
+
+
+@contextmanager
+def with_small_batches(spark: SparkSession):
+    """Within, the session hands texts and lists to Python in Arrow batches of a few MB, so what
+    both sides hold of them stays small."""
+    names = {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS,
+             "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
+    before = {k: spark.conf.get(k) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, str(v))
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def release_memory() -> None:
@@ -22,9 +41,9 @@ def release_memory() -> None:
 
 
 def trimmed(run: Callable) -> Callable:
-    """A function for mapInPandas that leaves its worker small: workers serve later stages too,
-    and what each of them keeps adds up."""
-    def wrapped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A function for mapInPandas or mapInArrow that leaves its worker small: workers serve later
+    stages too, and what each of them keeps adds up."""
+    def wrapped(batches: Iterator) -> Iterator:
         yield from run(batches)
         release_memory()
 

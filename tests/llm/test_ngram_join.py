@@ -129,6 +129,44 @@ def test_groups_over_many_blocks(spark, monkeypatch):
     assert got == sorted((k, n, c) for k, (n, c) in want.items())
 
 
+def test_groups_over_slices_and_blocks_by_signatures(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK_SIGS", 60)
+    texts = corpus(11)
+    met = []
+    links = ngram_join._links_between_groups
+
+    def seen(index, sets, rule):
+        met.append(index.count())
+        return links(index, sets, rule)
+
+    monkeypatch.setattr(ngram_join, "_links_between_groups", seen)
+    want = brute.groups(texts, 4, 80, 100)
+    got = run(spark, [(k, t, 1, "x") for k, t in texts.items()], words=4, similar=(80, 100))
+    assert got == sorted((k, n, c) for k, (n, c) in want.items()) and met[0] > 1
+
+
+def test_workers_hand_on_what_they_gather_in_slices():
+    most = ngram_join.SLICE_ITEMS
+    sizes = [most // 50] * 500 + [3 * most] + [0] * 7
+    made = list(ngram_join._sliced(((n, n) for n in sizes), list))
+    assert [n for rows in made for n in rows] == sizes
+    assert all(sum(rows[:-1]) < most for rows in made) and len(made) > 9
+
+
+def test_texts_go_to_python_in_small_batches(spark, monkeypatch):
+    names = ["spark.sql.execution.arrow.maxRecordsPerBatch",
+             "spark.sql.execution.arrow.maxBytesPerBatch"]
+    before, seen = [spark.conf.get(n) for n in names], []
+    for step in ("_sets", "_tokens", "_signatures", "_links_between_groups"):
+        def noted(*a, f=getattr(ngram_join, step), **kw):
+            seen.append([int(spark.conf.get(n)) for n in names])
+            return f(*a, **kw)
+        monkeypatch.setattr(ngram_join, step, noted)
+    assert len(run(spark, [(k, t, 1, "x") for k, t in corpus(3, 80).items()])) == 80
+    assert len(seen) == 4 and all(n <= 1000 and b <= 8 << 20 for n, b in seen)
+    assert [spark.conf.get(n) for n in names] == before
+
+
 @pytest.mark.parametrize("blocks", [1, 2])
 def test_links_of_blocks_against_all_pairs(blocks):
     rng, rule, size = random.Random(2), ngram_join.Rule(85, 100), 160
