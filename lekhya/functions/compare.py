@@ -3,76 +3,193 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from bisect import bisect_left
 from collections import Counter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
-from lekhya.functions.text import nfc, strip, text_or_empty, words
+from lekhya.functions.text import SPACES, nfc, strip, text_or_empty
 
 
-NEAR = 512  # edits looked for first between long texts
+SHORT = 512   # below this a band saves nothing
+BLOCK = 4096  # steps for which the places of characters are cut out once
+_WORD = re.compile(f"[^{SPACES}]+")
 
 
-def edit_distance(a: Column, b: Column) -> Column:
-    """Edits between two texts.  Long ones that lie within NEAR of each other, as readings of
-    one page do, need a band of the table only; for all others the whole of it is filled."""
-    near = F.nullif(F.levenshtein(a, b, NEAR), F.lit(-1))
-    return F.when(F.least(F.length(a), F.length(b)) > 4 * NEAR,
-                  F.coalesce(near, F.levenshtein(a, b))).otherwise(F.levenshtein(a, b))
+def _places(items: np.ndarray, wanted: np.ndarray) -> dict[int, int]:
+    """For each wanted value that occurs, the places where, as bits of a number."""
+    return {int(v): int.from_bytes(np.packbits(items == v, bitorder="little"), "little")
+            for v in np.intersect1d(items, wanted)}
+
+
+def _whole(long: np.ndarray, short: np.ndarray) -> int:
+    """Edits from one table whose columns are numbers of len(long) bits (vertical differences)."""
+    places, m = _places(long, short), len(long)
+    full = (1 << m) - 1
+    up, down = full, 0
+    for c in short.tolist():
+        x = places.get(c, 0)
+        level = ((((x & up) + up) ^ up) | x | down) & full
+        plus = (down | (full ^ (level | up))) << 1 | 1
+        minus = (level & up) << 1
+        down = level & plus
+        up = (minus | (full ^ ((level | plus) & full))) & full
+    return len(short) + up.bit_count() - down.bit_count()
+
+
+def _banded(long: np.ndarray, short: np.ndarray, most: int) -> tuple[int, int]:
+    """Edits if there are at most ``most``, else a larger number, and the columns looked at.
+
+    As :func:`_whole`, for the 2 * most + 1 diagonals around the main one; the window of bits
+    moves down by one row with every column.  Values never fall along a diagonal, so that which
+    ends in the last cell is followed, and given up where it exceeds ``most``.
+    """
+    width, lead = 2 * most + 1, len(long) - len(short)
+    full, at, score = (1 << width) - 1, most + lead, lead
+    up, down = full ^ ((1 << most) - 1), 0
+    padded = np.concatenate([np.full(most, -1, long.dtype), long,
+                             np.full(most + 1, -1, long.dtype)])
+    for start in range(0, len(short), BLOCK):
+        part = short[start:start + BLOCK]
+        places = _places(padded[start:start + width + len(part)], part)
+        for k, c in enumerate(part.tolist()):
+            x = (places.get(c, 0) >> k) & full
+            level = ((((x & up) + up) ^ up) | x | down) & full
+            plus = down | (full ^ (level | up))
+            minus = level & up
+            if not level >> at & 1:
+                score += 1
+                if score > most:
+                    return score, start + k + 1
+            level >>= 1
+            up = minus | (full ^ (level | plus))
+            down = level & plus
+    return score, len(short)
+
+
+def _edits(a: np.ndarray, b: np.ndarray) -> int:
+    long, short = (a, b) if len(a) >= len(b) else (b, a)
+    n = len(short)
+    differ = np.flatnonzero(long[:n] != short)
+    first = int(differ[0]) if len(differ) else n
+    long, short = long[first:], short[first:]
+    n = len(short)
+    differ = np.flatnonzero(long[len(long) - n:] != short)
+    tail = n - 1 - int(differ[-1]) if len(differ) else n
+    long, short = long[:len(long) - tail], short[:n - tail]
+    if not len(short):
+        return len(long)
+    most = max(64, 2 * (len(long) - len(short)))
+    while len(long) > SHORT and 4 * most < len(long):
+        score, looked = _banded(long, short, most)
+        if score <= most:
+            return score
+        # as many as there are if the rest differs as much, and some more
+        most = max(2 * most, 5 * score * len(short) // (4 * looked))
+    return _whole(long, short)
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.int32)
+
+
+def py_edits(a: str, b: str) -> int:
+    """Levenshtein distance of two texts over code points, exactly, 64 and more cells a step."""
+    return 0 if a == b else _edits(_points(a), _points(b))
+
+
+def py_word_edits(a: list[str], b: list[str]) -> int:
+    """Levenshtein distance of two lists of words."""
+    names: dict[str, int] = {}
+    return _edits(*[np.array([names.setdefault(w, len(names)) for w in ws], np.int32)
+                    for ws in (a, b)])
+
+
+def _integers(names: str) -> T.StructType:
+    return T.StructType([T.StructField(n, T.IntegerType()) for n in names.split()])
+
+
+def _nfc(text: str | None) -> str:
+    return unicodedata.normalize("NFC", text or "")
+
+
+@F.pandas_udf(T.IntegerType())
+def edit_distance(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Edits between two texts; null where one is null."""
+    return pd.Series([None if x is None or y is None else py_edits(x, y) for x, y in zip(a, b)],
+                     dtype="Int32")
+
+
+@F.pandas_udf(_integers("edits size"))
+def _characters(reference: pd.Series, hypothesis: pd.Series) -> pd.DataFrame:
+    pairs = [(_nfc(r), _nfc(h)) for r, h in zip(reference, hypothesis)]
+    return pd.DataFrame({"edits": [py_edits(r, h) for r, h in pairs],
+                         "size": [len(r) for r, _ in pairs]}, dtype="int32")
+
+
+@F.pandas_udf(_integers("edits size other"))
+def _words(reference: pd.Series, hypothesis: pd.Series) -> pd.DataFrame:
+    pairs = [(_WORD.findall(r or ""), _WORD.findall(h or ""))
+             for r, h in zip(reference, hypothesis)]
+    return pd.DataFrame([(py_word_edits(r, h), len(r), len(h)) for r, h in pairs],
+                        columns=["edits", "size", "other"], dtype="int32")
+
+
+@F.pandas_udf(_integers("edits size trimmed r h word_edits words other"))
+def _rates(reference: pd.Series, hypothesis: pd.Series) -> pd.DataFrame:
+    rows = []
+    for reference_, hypothesis_ in zip(reference, hypothesis):
+        ref, hyp = _nfc(reference_), _nfc(hypothesis_)
+        r, h = ref.strip(SPACES), hyp.strip(SPACES)
+        edits = py_edits(ref, hyp)
+        # texts without outer spaces are the same trimmed, so one distance serves both rates
+        trimmed = edits if len(r) == len(ref) and len(h) == len(hyp) else py_edits(r, h)
+        ws, os = _WORD.findall(reference_ or ""), _WORD.findall(hypothesis_ or "")
+        rows.append((edits, len(ref), trimmed, len(r), len(h), py_word_edits(ws, os), len(ws), len(os)))
+    return pd.DataFrame(rows, columns=["edits", "size", "trimmed", "r", "h", "word_edits", "words",
+                                       "other"], dtype="int32")
+
+
+def _rate(edits: Column, size: Column) -> Column:
+    return F.coalesce(edits / F.nullif(size, F.lit(0)), F.lit(0.0))
+
+
+def _rounded(edits: Column, size: Column, other: Column) -> Column:
+    rate = F.round(edits / F.nullif(size, F.lit(0)), 4)
+    return F.coalesce(rate, F.when(other == 0, 0.0).otherwise(1.0))
 
 
 def cer(reference: Column, hypothesis: Column) -> Column:
     """Character error rate, unrounded; an empty reference scores 0."""
-    ref, hyp = nfc(text_or_empty(reference)), nfc(text_or_empty(hypothesis))
-    rate = edit_distance(ref, hyp) / F.nullif(F.length(ref), F.lit(0))
-    return F.coalesce(rate, F.lit(0.0))
+    found = _characters(reference, hypothesis)
+    return _rate(found["edits"], found["size"])
 
 
 def with_error_rates(df: DataFrame, reference: str, hypothesis: str) -> DataFrame:
-    """Add ``cer``, ``cer_rounded`` and ``wer`` of two text columns.
-
-    Texts without outer spaces are the same trimmed, so one distance serves both rates.
-    """
-    pairs = df.withColumn("_ref", nfc(text_or_empty(F.col(reference)))).withColumn(
-        "_hyp", nfc(text_or_empty(F.col(hypothesis))))
-    found = pairs.withColumn("_edits", edit_distance(F.col("_ref"), F.col("_hyp"))).withColumn(
-        "_r", strip(F.col("_ref"))).withColumn("_h", strip(F.col("_hyp")))
-    plain = (F.col("_r") == F.col("_ref")) & (F.col("_h") == F.col("_hyp"))
-    trimmed = F.when(plain, F.col("_edits")).otherwise(edit_distance(F.col("_r"), F.col("_h")))
-    size = F.nullif(F.length("_ref"), F.lit(0))
-    rounded = F.round(trimmed / F.nullif(F.length("_r"), F.lit(0)), 4)
-    return found.select(
-        *df.columns, F.coalesce(F.col("_edits") / size, F.lit(0.0)).alias("cer"),
-        F.coalesce(rounded, F.when(F.length("_h") == 0, 0.0).otherwise(1.0)).alias("cer_rounded"),
-        wer(F.col(reference), F.col(hypothesis)).alias("wer"))
+    """Add ``cer``, ``cer_rounded`` and ``wer`` of two text columns, in one pass of the texts."""
+    x = df.withColumn("_rates", _rates(F.col(reference), F.col(hypothesis)))
+    return x.select(
+        *df.columns, _rate(F.col("_rates.edits"), F.col("_rates.size")).alias("cer"),
+        _rounded(F.col("_rates.trimmed"), F.col("_rates.r"), F.col("_rates.h")).alias("cer_rounded"),
+        _rounded(F.col("_rates.word_edits"), F.col("_rates.words"), F.col("_rates.other"))
+        .alias("wer"))
 
 
 def cer_rounded(reference: Column, hypothesis: Column) -> Column:
     """Benchmark variant: trimmed, 4 decimals, an empty reference scores 0 or 1."""
-    ref, hyp = nfc(strip(text_or_empty(reference))), nfc(strip(text_or_empty(hypothesis)))
-    rate = F.round(F.levenshtein(ref, hyp) / F.nullif(F.length(ref), F.lit(0)), 4)
-    return F.coalesce(rate, F.when(F.length(hyp) == 0, 0.0).otherwise(1.0))
+    r, h = strip(text_or_empty(reference)), strip(text_or_empty(hypothesis))
+    found = _characters(r, h)
+    return _rounded(found["edits"], found["size"], F.length(h))
 
 
 def wer(reference: Column, hypothesis: Column) -> Column:
-    """Word error rate, 4 decimals.
-
-    Every distinct word of the pair becomes one code point, so the built-in
-    edit distance over characters is the edit distance over words.
-    """
-    ref, hyp = words(reference), words(hypothesis)
-    vocabulary = F.array_distinct(F.concat(ref, hyp))
-
-    def encode(arr: Column) -> Column:
-        points = F.transform(arr, lambda w: F.lpad(
-            F.hex(F.array_position(vocabulary, w) + 65535), 8, "0"))
-        return F.decode(F.unhex(F.array_join(points, "")), "UTF-32")
-
-    rate = F.round(F.levenshtein(encode(ref), encode(hyp)) / F.nullif(F.size(ref), F.lit(0)), 4)
-    return F.coalesce(rate, F.when(F.size(hyp) == 0, 0.0).otherwise(1.0))
+    """Word error rate, 4 decimals: edits between the lists of words."""
+    found = _words(reference, hypothesis)
+    return _rounded(found["edits"], found["size"], found["other"])
 
 
 def exact_match(reference: Column, hypothesis: Column, normalise: bool = True) -> Column:
