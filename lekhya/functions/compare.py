@@ -124,6 +124,12 @@ def edit_distance(a: pd.Series, b: pd.Series) -> pd.Series:
                      dtype="Int32")
 
 
+def _agreeing(a: str, b: str) -> int:
+    """Places at which two texts have the same character."""
+    n = min(len(a), len(b))
+    return n if a[:n] == b[:n] else int((_points(a)[:n] == _points(b)[:n]).sum())
+
+
 @F.pandas_udf(_integers("edits size"))
 def _characters(reference: pd.Series, hypothesis: pd.Series) -> pd.DataFrame:
     pairs = [(_nfc(r), _nfc(h)) for r, h in zip(reference, hypothesis)]
@@ -131,6 +137,13 @@ def _characters(reference: pd.Series, hypothesis: pd.Series) -> pd.DataFrame:
                          "size": [len(r) for r, _ in pairs]}, dtype="int32")
 
 
+@F.pandas_udf(_integers("edits size other same"))
+def _readings(reference: pd.Series, hypothesis: pd.Series) -> pd.DataFrame:
+    pairs = [(_nfc(r), _nfc(h)) for r, h in zip(reference, hypothesis)]
+    return pd.DataFrame([(py_edits(r, h), len(r), len(h), _agreeing(r, h)) for r, h in pairs],
+                        columns=["edits", "size", "other", "same"], dtype="int32")
+
+
 @F.pandas_udf(_integers("edits size other"))
 def _words(reference: pd.Series, hypothesis: pd.Series) -> pd.DataFrame:
     pairs = [(_WORD.findall(r or ""), _WORD.findall(h or ""))
@@ -192,6 +205,21 @@ def wer(reference: Column, hypothesis: Column) -> Column:
     return _rounded(found["edits"], found["size"], found["other"])
 
 
+def with_reading_rates(df: DataFrame, reference: str, hypothesis: str) -> DataFrame:
+    """Add ``cer`` and ``exact_match`` of two text columns, in one pass of the texts."""
+    x = df.withColumn("_found", _readings(F.col(reference), F.col(hypothesis)))
+    size, other = F.col("_found.size"), F.col("_found.other")
+    return x.select(*df.columns, _rate(F.col("_found.edits"), size).alias("cer"),
+                    _share(F.col("_found.same"), size, other).alias("exact_match"))
+
+
+def _share(same: Column, size: Column, other: Column) -> Column:
+    longest = F.greatest(size, other)
+    return F.when(longest == 0, F.lit(1.0)).otherwise(
+        F.when(F.least(size, other) == 0, F.lit(0.0))
+         .otherwise(same / F.nullif(longest, F.lit(0))))
+
+
 def exact_match(reference: Column, hypothesis: Column, normalise: bool = True) -> Column:
     """Share of positions whose characters agree, over the longer length; both empty is 1."""
     ref, hyp = text_or_empty(reference), text_or_empty(hypothesis)
@@ -200,10 +228,7 @@ def exact_match(reference: Column, hypothesis: Column, normalise: bool = True) -
     same = F.aggregate(
         F.zip_with(F.split(ref, ""), F.split(hyp, ""), lambda a, b: F.coalesce(
             (a == b).cast("int"), F.lit(0))), F.lit(0), lambda acc, x: acc + x)
-    longest = F.greatest(F.length(ref), F.length(hyp))
-    return F.when(longest == 0, F.lit(1.0)).otherwise(
-        F.when(F.least(F.length(ref), F.length(hyp)) == 0, F.lit(0.0))
-         .otherwise(same / F.nullif(longest, F.lit(0))))
+    return _share(same, F.length(ref), F.length(hyp))
 
 
 def matching_ratio(a: str, b: str) -> float:

@@ -310,8 +310,7 @@ def extraction_quality(spark: SparkSession, folder: str) -> DataFrame:
     Every letter that was misread is missing in the other text, so the SQL may count letters.
     """
     p = scanned_pages(spark, folder).filter("is_scanned AND length(ocr_text) > 0")
-    pairs = p.select(*[f(F.col("clean_text"), F.col("ocr_text")).alias(name) for name, f in (
-        ("cer", compare.cer), ("exact_match", compare.exact_match))])
+    pairs = compare.with_reading_rates(p.select("clean_text", "ocr_text"), "clean_text", "ocr_text")
     return quality.extraction_quality(pairs)
 
 

@@ -71,3 +71,13 @@ def test_one_distance_serves_both_error_rates(spark):
     assert got.collect() == plain.collect()
     bands = df.select((compare.edit_distance(ref, hyp)).alias("x"), F.levenshtein(ref, hyp).alias("y"))
     assert all(r["x"] == r["y"] for r in bands.collect())
+
+
+def test_one_pass_serves_error_rate_and_exact_match(spark):
+    long = "abcdefghij" * 300
+    pairs = [("abc", "abd"), (" abc ", "abc"), ("", ""), ("", "x"), ("x", None), (None, None),
+             ("e\u0301 a", "\u00e9 b"), (long, long.replace("e", "c")), (long, long[5:])]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    plain = df.select(compare.cer(F.col("a"), F.col("b")), compare.exact_match(F.col("a"), F.col("b")))
+    got = compare.with_reading_rates(df, "a", "b").select("cer", "exact_match")
+    assert got.collect() == plain.collect()
