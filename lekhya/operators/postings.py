@@ -8,6 +8,10 @@ audience may see, by sums over access groups, before any posting is read.
 From the maxima follows the most that a block can score for a question.  The most promising
 blocks are scored first; the k-th score found there is a floor, and only blocks that can reach
 it are read after that.  Scores and order are those of the full evaluation.
+
+Question terms, blocks asked for and access are slim and are brought to the postings as long as
+they are few; then only postings of the questions' terms move, once, to where their block is
+scored, and of a block no more than the best rows of a question leave the task.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from lekhya import fixed_values as fv
 from lekhya.functions.text import tokens
 from lekhya.operators.retrieval import bm25_term
-from lekhya.operators.scale import top_k
+from lekhya.operators.scale import BROADCAST_ROWS, top_k
 from lekhya.session import stage
 
 BLOCK = 256      # rows of a block
@@ -46,22 +50,39 @@ def build(chunks: DataFrame, doc: str, text: Column, group: Column) -> Index:
         F.col(doc).alias("doc"), F.coalesce(group.cast("string"), F.lit("")).alias("group"),
         F.floor(F.monotonically_increasing_id() / BLOCK).alias("block"),
         tokens(text).alias("toks"))
-    numbered = stage(numbered.withColumn("len", F.size("toks")))
+    # words in order as one text: a fraction of a list of words, and equal ones side by side
+    numbered = stage(numbered.select("doc", "group", "block", F.size("toks").alias("len"),
+                                     F.array_join(F.array_sort("toks"), " ").alias("words")))
     # dealt out by block once, before words become rows: both groupings below stay in place
-    counted = (numbered.repartition("block")
-               .select("doc", "group", "block", "len", F.explode("toks").alias("term"))
+    counted = (numbered.repartition("block").filter("len > 0")
+               .select("doc", "group", "block", "len",
+                       F.explode(F.split("words", " ")).alias("term"))
                .groupBy("term", "block", "doc", "group", "len")
                .agg(F.count(F.lit(1)).cast("int").alias("tf")))
     postings = stage(counted.groupBy("term", "block").agg(
         F.max("tf").alias("most_tf"), F.min("len").alias("least_len"),
         F.collect_list(F.struct("doc", "group", "tf", "len")).alias("entries")))
-    terms = (postings.select("term", F.explode("entries.group").alias("group"))
-             .groupBy("term", "group").agg(F.count(F.lit(1)).alias("df")))
-    return Index(numbered.drop("toks"), stage(terms),
+    return Index(numbered.drop("words"), _by_group(postings),
                  postings.select("term", "block", "most_tf", "least_len"),
                  postings.select("term", "block", "entries"))
 
 
+def _by_group(postings: DataFrame) -> DataFrame:
+    """term, group, df of some postings."""
+    return (postings.select("term", F.explode("entries.group").alias("group"))
+            .groupBy("term", "group").agg(F.count(F.lit(1)).alias("df")))
+
+
+def _few(rows: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``rows``, a staged table, to be brought to all tasks if there are at most ``most``."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
+
+
+def _asked_postings(index: Index, asked: DataFrame) -> DataFrame:
+    """The postings of terms of ``asked``."""
+    return index.postings.join(_few(stage(asked.select("term").distinct())), "term", "left_semi")
+
+
 def question_terms(questions: DataFrame) -> DataFrame:
     """query_id, audience, term, m (multiplicity) of a question table with a column text."""
     return (questions.select("query_id", "audience", F.explode(tokens(F.col("text"))).alias("term"))
@@ -83,12 +104,14 @@ def weighted_terms(index: Index, asked: DataFrame, audiences: DataFrame,
         beyond.select("audience", F.lit(1).cast("long").alias("n"), F.col("len").cast("long")))
     totals = seen.groupBy("audience").agg(F.sum("n").alias("n"),
                                           (F.sum("len") / F.sum("n")).alias("average"))
-    wanted = asked.select("audience", "term").distinct()
-    by_group = wanted.join(index.terms, "term").join(audiences, ["audience", "group"]).select(
+    wanted = stage(asked.select("audience", "term").distinct())
+    met = _asked_postings(index, wanted)
+    by_group = wanted.join(_by_group(met), "term").join(audiences, ["audience", "group"]).select(
         "audience", "term", "df")
-    single = (wanted.join(index.postings, "term")
-              .select("audience", "term", F.explode("entries.doc").alias("doc"))
-              .join(beyond, ["audience", "doc"])
+    # the rows that grants add first, then who asks for their terms
+    single = (met.select("term", F.explode("entries.doc").alias("doc"))
+              .join(_few(beyond.select("audience", "doc")), "doc")
+              .join(_few(wanted), ["audience", "term"])
               .select("audience", "term", F.lit(1).cast("long").alias("df")))
     df = by_group.unionByName(single).groupBy("audience", "term").agg(F.sum("df").alias("df"))
     return asked.join(df, ["audience", "term"]).join(totals, "audience")
@@ -98,21 +121,43 @@ def block_bounds(index: Index, weighted: DataFrame) -> DataFrame:
     """query_id, block, bound: no row of the block scores more for the question."""
     most = F.col("m") * bm25_term(F.col("most_tf"), F.col("df"), F.col("n"), F.col("least_len"),
                                   F.col("average"))
-    return weighted.join(index.maxima, "term").groupBy("query_id", "block").agg(
+    return index.maxima.join(_few(weighted), "term").groupBy("query_id", "block").agg(
         F.sum(most).alias("bound"))
 
 
 def scored(index: Index, blocks: DataFrame, weighted: DataFrame, audiences: DataFrame,
-           beyond: DataFrame) -> DataFrame:
-    """query_id, doc, score of the rows of ``blocks`` (query_id, block) that may be seen."""
-    met = (blocks.join(weighted, "query_id").join(index.postings, ["term", "block"])
-           .select("query_id", "audience", "m", "df", "n", "average", F.inline("entries")))
-    inside = met.join(audiences, ["audience", "group"], "left_semi")
-    apart = met.join(beyond.select("audience", "doc"), ["audience", "doc"], "left_semi")
-    part = F.col("m") * bm25_term(F.col("tf"), F.col("df"), F.col("n"), F.col("len"),
-                                  F.col("average"))
-    return (inside.unionByName(apart).groupBy("query_id", "doc")
-            .agg(F.round(F.sum(part), PLACES).alias("score")))
+           beyond: DataFrame, apart: bool = False) -> DataFrame:
+    """query_id, doc, score of the rows of ``blocks`` (query_id, block) that may be seen.
+
+    All of a block meets in one task; ``apart``: a key may stand in several blocks, so its rows
+    are dealt out once more.
+    """
+    asking = stage(blocks.groupBy("block").agg(F.collect_set("query_id").alias("queries")))
+    met = (_asked_postings(index, weighted).join(_few(asking.select("block")), "block", "left_semi")
+           .select("term", "block", *[F.col(f"entries.{c}").alias(c)
+                                      for c in ("doc", "group", "tf", "len")])
+           .repartition("block"))
+    # the exchange moves four plain lists; whoever asks for a block's term joins them after it
+    questions = _few(stage(weighted.groupBy("term").agg(F.collect_list(F.struct(
+        "query_id", "audience", "m", "df", "n", "average")).alias("asked"))))
+    wanted = (met.join(questions, "term").join(_few(asking), "block")
+              .withColumn("asked", F.filter("asked", lambda a: F.array_contains(
+                  F.col("queries"), a["query_id"])))
+              .select("block", F.arrays_zip("doc", "group", "tf", "len").alias("entries"),
+                      F.inline("asked"))
+              .select("block", "query_id", "audience", "m", "df", "n", "average",
+                      F.inline("entries")))
+    # of a key with several rows one may be seen by its group and by a grant, and counts for both
+    seen = (wanted.join(_few(audiences.withColumn("_group", F.lit(1))), ["audience", "group"], "left")
+            .join(_few(stage(beyond.select("audience", "doc").distinct()
+                             .withColumn("_grant", F.lit(1)))), ["audience", "doc"], "left")
+            .withColumn("_times", F.coalesce("_group", F.lit(0)) + F.coalesce("_grant", F.lit(0)))
+            .filter("_times > 0"))
+    part = F.col("_times") * F.col("m") * bm25_term(
+        F.col("tf"), F.col("df"), F.col("n"), F.col("len"), F.col("average"))
+    keys = ["query_id", "doc"] if apart else ["query_id", "block", "doc"]
+    return (seen.groupBy(*keys).agg(F.round(F.sum(part), PLACES).alias("score"))
+            .select("query_id", "doc", "score"))
 
 
 def search(index: Index, questions: DataFrame, audiences: DataFrame, k: int = 10,
@@ -129,16 +174,22 @@ def search(index: Index, questions: DataFrame, audiences: DataFrame, k: int = 10
         granted = index.rows.limit(0).select(F.lit(None).cast(
             audiences.schema["audience"].dataType).alias("audience"), "doc")
     beyond = stage(granted_beyond(index, audiences, granted))
+    # keys are expected to be unique; one that stands in several blocks is scored over all of them
+    apart = not (index.rows.groupBy("doc").agg(F.min("block").alias("lo"), F.max("block").alias("hi"))
+                 .filter("lo <> hi").isEmpty())
     weighted = stage(weighted_terms(index, stage(question_terms(questions)), audiences, beyond))
     bounds = stage(block_bounds(index, weighted))
     start = stage(top_k(bounds, first, ["query_id"], [F.desc("bound"), F.col("block")], "_nth"))
-    found = stage(scored(index, start.select("query_id", "block"), weighted, audiences, beyond))
     order = [F.desc("score"), F.col("doc")]
-    floors = top_k(found, k, ["query_id"], order).filter(F.col("rank") == k).select(
-        "query_id", F.col("score").alias("floor"))
-    rest = remaining(bounds, start, floors)
-    more = scored(index, rest, weighted, audiences, beyond)
-    return top_k(found.unionByName(more), k, ["query_id"], order).select(
+
+    def best(blocks):
+        rows = scored(index, blocks.select("query_id", "block"), weighted, audiences, beyond, apart)
+        return stage(top_k(rows, k, ["query_id"], order))
+
+    found = best(start)
+    floors = found.filter(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
+    more = best(stage(remaining(bounds, start, floors)))
+    return top_k(found.unionByName(more).drop("rank"), k, ["query_id"], order).select(
         "query_id", "rank", "doc", "score")
 
 
@@ -153,10 +204,11 @@ def remaining(bounds: DataFrame, start: DataFrame, floors: DataFrame) -> DataFra
 def totals(index: Index, questions: DataFrame, audiences: DataFrame,
            granted: DataFrame | None = None) -> DataFrame:
     """query_id, total: rows seen by its audience that hold a term of the question."""
-    asked = question_terms(questions)
+    asked = stage(question_terms(questions))
     group = audiences.select("audience", F.coalesce(F.col("group").cast("string"), F.lit(""))
                              .alias("group")).distinct()
-    met = asked.join(index.postings, "term").select("query_id", "audience", F.inline("entries"))
+    met = index.postings.join(_few(asked), "term").select("query_id", "audience",
+                                                          F.inline("entries"))
     rows = met.join(group, ["audience", "group"], "left_semi").select("query_id", "doc")
     if granted is not None:
         held = granted.select("audience", "doc").distinct()
